@@ -57,7 +57,7 @@ def group_means(spark, folder):
 
 @query("group_sum", "SELECT tract, sum(label)::bigint AS times FROM labelled GROUP BY tract", views="panel_s cuts labelled")
 def group_sum(spark, folder):
-    labelled = FE.create_label(B.panel_dense(spark, folder), "filings_rate")
+    labelled = FE.create_label(B.panel_table(spark, folder), "filings_rate")
     return labelled.groupBy("tract").agg(F.sum("label").alias("times"))
 
 
@@ -80,7 +80,7 @@ def leaderboard_max(spark, folder):
 
 @query("yearly_threshold", "SELECT * FROM cuts", views="panel_s cuts")
 def yearly_threshold(spark, folder):
-    return FE.yearly_threshold(B.panel_dense(spark, folder), "filings_rate", 0.9)
+    return FE.yearly_threshold(B.panel_table(spark, folder), "filings_rate", 0.9)
 
 
 @query("median_by_column", """
@@ -143,7 +143,7 @@ def _describe_sql(source: str, columns) -> str:
        + _describe_sql("panel_h", ["filings_total", "filings_rate"]), views="panel_s panel_h")
 def describe_stats(spark, folder):
     orders = PR.describe_stats(table(spark, folder, "orders"), ["o_orderkey", "o_totalprice"])
-    panel = PR.describe_stats(B.panel_holes(spark, folder), ["filings_total", "filings_rate"])
+    panel = PR.describe_stats(B.panel_table(spark, folder, holes=True), ["filings_total", "filings_rate"])
     return rounded(orders.unionByName(panel), ["mean", "std", "p25", "p50", "p75"])
 
 
@@ -195,5 +195,5 @@ SELECT tract, filings_rate, CASE WHEN filings_rate <= q0 THEN 0 WHEN filings_rat
     WHEN filings_rate <= q3 THEN q3 ELSE q4 END, 6) AS upper_limit
 FROM panel_h, e WHERE year = 1999 AND filings_rate IS NOT NULL""", views="panel_s panel_h")
 def quantile_classes(spark, folder):
-    one_year = B.panel_holes(spark, folder).where(F.col("year") == 1999).select("tract", "filings_rate")
+    one_year = B.panel_table(spark, folder, holes=True).where(F.col("year") == 1999).select("tract", "filings_rate")
     return rounded(O.quantile_classes(one_year, "filings_rate"), ["upper_limit"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from areapanel.functions import scalar as S
 from areapanel.operators import panel as P
+from areapanel.session import stage
 from areapanel.sources import landed as L
 from areapanel.sources import schemas as C
 
@@ -77,6 +78,11 @@ def panel_holes(spark: SparkSession, folder: str) -> DataFrame:
     return panel_dense(spark, folder).withColumn("filings_rate", F.when(~hole, F.col("filings_rate")))
 
 
+def panel_table(spark: SparkSession, folder: str, holes: bool = False) -> DataFrame:
+    """The dense panel as a written table, for operators that pass over it more than once."""
+    return stage((panel_holes if holes else panel_dense)(spark, folder), "panel")
+
+
 def offence_code() -> Column:
     """Two-digit code from the brand number; three brands get one no class lists."""
     number = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
@@ -221,6 +227,10 @@ def scored_runs(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", "label", "split_date", F.col("r.model").alias("model"), F.col("r.score").alias("score"))
 
 
+def score_table(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(scored_runs(spark, folder), "scores")
+
+
 def _class_sql(code: str) -> str:
     cases = " ".join(f"WHEN {code} IN ({', '.join(repr(x) for x in codes)}) THEN '{name}'"
                      for name, codes in C.CRIME_CLASSES.items())

@@ -144,7 +144,7 @@ def next_year_key(spark, folder):
 @query("flag_product", "SELECT tract, year, label * label_prev_year AS correct_with_baseline FROM labelled",
        views="panel_s cuts labelled")
 def flag_product(spark, folder):
-    labelled = FE.create_label(B.panel_dense(spark, folder), "filings_rate")
+    labelled = FE.create_label(B.panel_table(spark, folder), "filings_rate")
     return labelled.select("tract", "year", (F.col("label") * F.col("label_prev_year")).alias("correct_with_baseline"))
 
 

@@ -25,7 +25,7 @@ full_prf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END A
 
 
 def _metrics(spark, folder):
-    return M.at_k(B.scored_runs(spark, folder), "score", "label", ["doc_id"], RUNS)
+    return M.at_k(B.score_table(spark, folder), "score", "label", ["doc_id"], RUNS)
 
 
 def _one(column: str, short: str) -> str:
@@ -62,7 +62,7 @@ AUC = """auc AS (SELECT model, split_date, (sum(CASE WHEN label = 1 THEN rk END)
 
 @query("roc_auc", f", {AUC} SELECT model, split_date, round(auc, 9) AS auc_roc FROM auc", views="scored scored_runs")
 def roc_auc(spark, folder):
-    return rounded(M.roc_auc(B.scored_runs(spark, folder), "score", "label", RUNS), ["auc_roc"], 9)
+    return rounded(M.roc_auc(B.score_table(spark, folder), "score", "label", RUNS), ["auc_roc"], 9)
 
 
 _GRID = ", ".join(f"round(max({s}) FILTER (WHERE k = {k}), 9) AS {n}_at_{k}"
@@ -74,7 +74,7 @@ SELECT model, split_date, random_baseline, {_GRID}, round(max(auc), 9) AS auc_ro
 JOIN (SELECT model, split_date, round(avg(label), 9) AS random_baseline FROM scored_runs GROUP BY ALL) USING (model, split_date)
 GROUP BY model, split_date, random_baseline""", views="scored scored_runs")
 def metrics_grid(spark, folder):
-    grid = M.metrics_grid(B.scored_runs(spark, folder), "score", "label", ["doc_id"], RUNS)
+    grid = M.metrics_grid(B.score_table(spark, folder), "score", "label", ["doc_id"], RUNS)
     return rounded(grid, [c for c in grid.columns if c not in RUNS], 9)
 
 
@@ -97,7 +97,7 @@ def bias_crosstab(spark, folder):
 SELECT year, round(sum(label * label_prev_year) / nullif(floor((SELECT count(*) FROM supplier) * 0.1::double), 0)::double, 9) AS correct_with_baseline
 FROM labelled GROUP BY year""", views="panel_s cuts labelled")
 def persistence_baseline(spark, folder):
-    labelled = FE.create_label(B.panel_dense(spark, folder), "filings_rate")
+    labelled = FE.create_label(B.panel_table(spark, folder), "filings_rate")
     areas = table(spark, folder, "supplier").agg(F.count("*")).scalar()
     return rounded(M.persistence_baseline(labelled, areas), ["correct_with_baseline"], 9)
 
@@ -112,9 +112,9 @@ SELECT split_date, round(p_at_10, 9), 'Baseline' FROM (SELECT (year + 16)::varch
 SELECT split_date, round(avg(b), 9), 'Random Baseline' FROM chance GROUP BY split_date""",
        views="scored scored_runs panel_s cuts labelled")
 def leaderboard(spark, folder):
-    grid = M.metrics_grid(B.scored_runs(spark, folder), "score", "label", ["doc_id"], RUNS, ks=(10,)) \
+    grid = M.metrics_grid(B.score_table(spark, folder), "score", "label", ["doc_id"], RUNS, ks=(10,)) \
         .withColumnRenamed("model", "model_type")
-    labelled = FE.create_label(B.panel_dense(spark, folder), "filings_rate")
+    labelled = FE.create_label(B.panel_table(spark, folder), "filings_rate")
     areas = table(spark, folder, "supplier").agg(F.count("*")).scalar()
     persistence = M.persistence_baseline(labelled, areas).select(
         F.concat((F.col("year") + 16).cast("string"), F.lit("-01-01")).alias("split_date"),

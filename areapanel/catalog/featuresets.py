@@ -19,14 +19,14 @@ LABELS = list(LEVELS)
 
 @query("create_label", "SELECT * FROM labelled", views="panel_s cuts labelled")
 def create_label(spark, folder):
-    return FE.create_label(B.panel_dense(spark, folder), "filings_rate")
+    return FE.create_label(B.panel_table(spark, folder), "filings_rate")
 
 
 @query("median_impute", """
 SELECT tract, year, round(coalesce(filings_rate, (SELECT median(filings_rate) FROM panel_h)), 6) AS filings_rate FROM panel_h""",
        views="panel_s panel_h")
 def median_impute(spark, folder):
-    filled = FE.median_impute(B.panel_holes(spark, folder), ["filings_rate"])
+    filled = FE.median_impute(B.panel_table(spark, folder, holes=True), ["filings_rate"])
     return rounded(filled.select("tract", "year", "filings_rate"), ["filings_rate"])
 
 
@@ -43,14 +43,14 @@ RANGE_SQL = "(SELECT min(filings_rate) AS lo, max(filings_rate) AS hi FROM panel
 @query("equal_width_codes", f"SELECT tract, year, {bin_sql('filings_rate', 'lo', 'hi')} AS filings_rate_group FROM panel_h, {RANGE_SQL}",
        views="panel_s panel_h")
 def equal_width_codes(spark, folder):
-    return FE.discretize(B.panel_holes(spark, folder), ["filings_rate"], 3).select("tract", "year", "filings_rate_group")
+    return FE.discretize(B.panel_table(spark, folder, holes=True), ["filings_rate"], 3).select("tract", "year", "filings_rate_group")
 
 
 @query("equal_width_bins", f"""
 SELECT tract, year, {bin_sql('filings_rate', 'lo', 'hi', tuple(LABELS))} AS rate_class FROM panel_h, {RANGE_SQL}""",
        views="panel_s panel_h")
 def equal_width_bins(spark, folder):
-    return FE.cut_column(B.panel_holes(spark, folder), "filings_rate", "rate_class", 3, LABELS).select("tract", "year", "rate_class")
+    return FE.cut_column(B.panel_table(spark, folder, holes=True), "filings_rate", "rate_class", 3, LABELS).select("tract", "year", "rate_class")
 
 
 @query("quantile_bins", """
@@ -87,7 +87,7 @@ SELECT tract, year, filings_total, round(filings_rate, 6) AS filings_rate, {one_
        views="panel_s panel_h")
 def process_features(spark, folder):
     columns = ["filings_rate", "filings_total"]
-    panel = B.panel_holes(spark, folder).drop("commarea")
+    panel = B.panel_table(spark, folder, holes=True).drop("commarea")
     return rounded(FE.process_features(panel, columns, 3, LABELS, impute=columns), ["filings_rate"])
 
 
@@ -101,7 +101,7 @@ b AS (SELECT *, {bin_sql('filings_rate', 'lo', 'hi', tuple(LABELS))} AS filings_
 SELECT split_date, role, tract, day, round(filings_rate, 6) AS filings_rate, {one_hot_sql('filings_rate')} FROM b""",
        views="panel_s panel_h")
 def process_splits(spark, folder):
-    panel = B.panel_holes(spark, folder).select("tract", F.make_date("year", F.lit(1), F.lit(1)).alias("day"), "filings_rate")
+    panel = B.panel_table(spark, folder, holes=True).select("tract", F.make_date("year", F.lit(1), F.lit(1)).alias("day"), "filings_rate")
     splits = FE.temporal_splits(panel, "day", "1995-01-01", "2001-01-01")
     return rounded(split_features(splits, ["filings_rate"], labels=LABELS), ["filings_rate"])
 
@@ -118,7 +118,7 @@ SELECT tract, year, CASE WHEN r >= 1 THEN 1 ELSE r END AS share FROM (
   SELECT tract, year, round(coalesce(filings_rate / 2000, (SELECT median(filings_rate / 2000) FROM panel_h)), 9) AS r FROM panel_h)""",
        views="panel_s panel_h")
 def pre_process(spark, folder):
-    panel = B.panel_holes(spark, folder).select("tract", "year", (F.col("filings_rate") / 2000).alias("share"))
+    panel = B.panel_table(spark, folder, holes=True).select("tract", "year", (F.col("filings_rate") / 2000).alias("share"))
     return rounded(FE.pre_process(panel, cap="share", columns=["share"]), ["share"], 9)
 
 

@@ -59,7 +59,7 @@ PCT = """(rank() OVER (PARTITION BY {g} ORDER BY {v}) + (count(*) OVER (PARTITIO
 SELECT tract, year, filings_rate FROM (SELECT *, {PCT.format(g='1', v='filings_rate')} AS p FROM panel_h WHERE filings_rate IS NOT NULL)
 WHERE p > 0.9::double""", views="panel_s panel_h")
 def top_decile_filter(spark, folder):
-    return O.top_share(B.panel_holes(spark, folder), "filings_rate").select("tract", "year", "filings_rate")
+    return O.top_share(B.panel_table(spark, folder, holes=True), "filings_rate").select("tract", "year", "filings_rate")
 
 
 @query("source_predicate", """

@@ -12,6 +12,7 @@ from areapanel.operators import ordering as O
 from areapanel.operators import panel as P
 from areapanel.operators.spatial import spatial_join as join_points
 from areapanel.plans.panel_build import violation_panel
+from areapanel.session import stage
 from areapanel.sources import landed as L
 
 
@@ -21,7 +22,7 @@ def crime_home(spark, folder):
 
 def predictions(spark, folder):
     """Top decile of the last year as predictions per tract."""
-    last = B.panel_dense(spark, folder).where(F.col("year") == 2001)
+    last = B.panel_table(spark, folder).where(F.col("year") == 2001)
     return O.flag_top_k(last, [], M.score_order("filings_rate", ["tract"]), 10, name="prediction") \
         .select("tract", "year", "prediction")
 
@@ -48,7 +49,7 @@ def dimension_join(spark, folder):
 SELECT p.tract, p.year, p.filings_total, p.year + 1 AS next_year, n.filings_total AS filings_total_next_year
 FROM panel_c p LEFT JOIN panel_c n ON n.tract = p.tract AND n.year = p.year + 1""", views="panel_c")
 def next_year_left_join(spark, folder):
-    return P.with_next_year(B.panel_sparse(spark, folder).drop("commarea"), "filings_total")
+    return P.with_next_year(stage(B.panel_sparse(spark, folder).drop("commarea")), "filings_total")
 
 
 @query("full_outer_results", f"""
@@ -66,7 +67,7 @@ SELECT tract, year, commarea, filings_total, round(avg(filings_total) OVER w, 6)
   round(avg(filings_rate) OVER w, 6) AS filings_rate_mean_by_commarea
 FROM panel_h WINDOW w AS (PARTITION BY commarea, year)""", views="panel_s panel_h")
 def group_mean_features(spark, folder):
-    out = P.with_group_means(B.panel_holes(spark, folder), columns=["filings_total", "filings_rate"])
+    out = P.with_group_means(B.panel_table(spark, folder, holes=True), columns=["filings_total", "filings_rate"])
     return out.select("tract", "year", "commarea", "filings_total",
                       *[F.round(f"{c}_mean_by_commarea", 6).alias(f"{c}_mean_by_commarea")
                         for c in ("filings_total", "filings_rate")])
@@ -125,7 +126,7 @@ def spatial_join(spark, folder):
 SELECT tract, year, filings_rate FROM panel_s
 WHERE tract IN (SELECT tract FROM panel_s WHERE filings_rate > 2000 GROUP BY tract HAVING count(*) > 1)""", views="panel_s")
 def semi_join_topk(spark, folder):
-    panel = B.panel_dense(spark, folder).select("tract", "year", "filings_rate")
+    panel = B.panel_table(spark, folder).select("tract", "year", "filings_rate")
     chosen = panel.where(F.col("filings_rate") > 2000).groupBy("tract").agg(F.count("*").alias("n")).where("n > 1")
     return P.semi_join(panel, chosen)
 

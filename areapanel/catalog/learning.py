@@ -12,6 +12,7 @@ from areapanel.operators import models as ML
 from areapanel.operators import panel as P
 from areapanel.operators.neighbours import knn_score as neighbour_score
 from areapanel.plans import scoring
+from areapanel.session import stage
 
 KEYS = ["tract", "year"]
 TO_BIN = ["filings_rate", "filings_total", "total_crime"]
@@ -22,12 +23,12 @@ GROUPS = scoring.group_columns(TO_BIN)
 def labelled_panel(spark, folder):
     """Dense panel with crime counts and the label of the next year; the last year has none."""
     crime = crime_home(spark, folder).select("tract", "year", "total_crime")
-    panel = P.disjoint(B.panel_dense(spark, folder).drop("commarea"), crime, KEYS)
+    panel = stage(P.disjoint(B.panel_dense(spark, folder).drop("commarea"), crime, KEYS), "panel")
     return FE.create_label(panel, "filings_rate", drop_unlabelled=True).drop("next_year", "filings_rate_next_year")
 
 
 def feature_sets(spark, folder):
-    panel = labelled_panel(spark, folder)
+    panel = stage(labelled_panel(spark, folder), "labelled")
     train, test = panel.where(F.col("year") != TEST_YEAR), panel.where(F.col("year") == TEST_YEAR)
     return tuple(FE.process_features(part, TO_BIN, impute=TO_BIN) for part in (train, test))
 
@@ -62,7 +63,7 @@ def knn_score(spark, folder):
 
 @query("grid_metrics")
 def grid_metrics(spark, folder):
-    panel = labelled_panel(spark, folder).withColumn("day", F.make_date("year", F.lit(1), F.lit(1)))
+    panel = stage(labelled_panel(spark, folder), "labelled").withColumn("day", F.make_date("year", F.lit(1), F.lit(1)))
     splits = FE.temporal_splits(panel, "day", "1995-01-01", "2000-01-01", train_months=48)
     featured = scoring.split_features(splits, TO_BIN, impute=TO_BIN)
     _, grid = ML.model_grid("test")

@@ -25,7 +25,7 @@ def growth_rate(spark, folder):
 SELECT tract, year, filings_rate, CASE WHEN filings_rate IS NOT NULL THEN round({PCT.format(g='year', v='filings_rate')}, 9) END AS pct_rank
 FROM panel_h""", views="panel_s panel_h")
 def pct_rank(spark, folder):
-    ranked = O.with_percentile_rank(B.panel_holes(spark, folder), "filings_rate", ["year"])
+    ranked = O.with_percentile_rank(B.panel_table(spark, folder, holes=True), "filings_rate", ["year"])
     return rounded(ranked.select("tract", "year", "filings_rate", "pct_rank"), ["pct_rank"], 9)
 
 
@@ -34,7 +34,7 @@ SELECT model, split_date, doc_id, cast(row_number() OVER (PARTITION BY model, sp
   < floor(count(*) OVER (PARTITION BY model, split_date) * (10 / 100.0::double)) AS int) AS flag FROM scored_runs""",
        views="scored scored_runs")
 def flag_top_k(spark, folder):
-    flagged = O.flag_top_k(B.scored_runs(spark, folder), ["model", "split_date"], M.score_order("score", ["doc_id"]), 10)
+    flagged = O.flag_top_k(B.score_table(spark, folder), ["model", "split_date"], M.score_order("score", ["doc_id"]), 10)
     return flagged.select("model", "split_date", "doc_id", "flag")
 
 
@@ -45,14 +45,14 @@ RANKED = f"(SELECT *, {PCT.format(g='year', v='filings_rate')} AS p FROM panel_h
 SELECT tract, sum(CASE WHEN filings_rate IS NOT NULL AND p >= 0.9::double THEN 1 ELSE 0 END)::bigint AS times
 FROM {RANKED} GROUP BY tract HAVING times > 1""", views="panel_s panel_h")
 def times_in_top_decile(spark, folder):
-    return O.times_in_top(B.panel_holes(spark, folder), "filings_rate", "year", "tract", more_than=1)
+    return O.times_in_top(B.panel_table(spark, folder, holes=True), "filings_rate", "year", "tract", more_than=1)
 
 
 @query("top_decile", f"""
 SELECT tract, year, filings_rate FROM {RANKED.replace('FROM panel_h', 'FROM panel_h WHERE filings_rate IS NOT NULL')}
 WHERE p > 0.9::double""", views="panel_s panel_h")
 def top_decile(spark, folder):
-    return O.top_share(B.panel_holes(spark, folder), "filings_rate", ["year"]).select("tract", "year", "filings_rate")
+    return O.top_share(B.panel_table(spark, folder, holes=True), "filings_rate", ["year"]).select("tract", "year", "filings_rate")
 
 
 @query("pr_curve", """
@@ -64,5 +64,5 @@ FROM (SELECT model, split_date, score, sum(pos) OVER w AS tp, sum(n) OVER w AS m
       WINDOW w AS (PARTITION BY model, split_date ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
 WHERE tp - pos < total_pos""", views="scored scored_runs")
 def pr_curve(spark, folder):
-    curve = M.pr_curve(B.scored_runs(spark, folder), "score", "label", ["model", "split_date"])
+    curve = M.pr_curve(B.score_table(spark, folder), "score", "label", ["model", "split_date"])
     return rounded(curve, ["precision", "recall", "pct_population"], 9)

@@ -23,6 +23,8 @@ from areapanel.operators.neighbours import knn_score
 
 SEED = 100
 MAX_TREE_DEPTH = 30  # MLlib accepts no deeper tree.
+ROWS_PER_PARTITION = 50_000
+TOLERANCE = 1e-4
 
 # Default parameters per model.
 DEFAULTS = {
@@ -117,9 +119,9 @@ def estimator(name: str, params: Mapping, n_train: int, label: str = "label", se
     strength = 1.0 / (p.get("C", 1.0) * max(n_train, 1))
     if name == "LR":
         return LogisticRegression(elasticNetParam=1.0 if p["penalty"] == "l1" else 0.0, regParam=strength,
-                                  standardization=False, maxIter=100, **io)
+                                  standardization=False, maxIter=100, tol=TOLERANCE, **io)
     if name == "SVM":
-        return LinearSVC(regParam=strength, standardization=False, maxIter=100, **io)
+        return LinearSVC(regParam=strength, standardization=False, maxIter=100, tol=TOLERANCE, **io)
     if name == "GB":
         return GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], subsamplingRate=p["subsample"],
                              maxDepth=_depth(p), seed=seed, **io)
@@ -151,7 +153,10 @@ def fit_model(train: DataFrame, name: str, params: Mapping, predictors: Sequence
     rows = assemble(train.select(*predictors, F.col(label).cast("double").alias(label)), predictors) \
         .select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return estimator(name, params, rows.count(), label).fit(rows)
+        n = rows.count()
+        # Few rows in many partitions only add task overhead to every iteration.
+        packed = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION))))
+        return estimator(name, params, n, label).fit(packed)
     finally:
         rows.unpersist()
 

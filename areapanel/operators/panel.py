@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from areapanel.functions.scalar import blank_year, cap_at_one, ratio, shares, zero_pad
 from areapanel.operators.ordering import non_null_keys
 from areapanel.operators.sizing import pin_small
+from areapanel.session import stage
 
 KEY = ("tract", "year")
 
@@ -131,7 +132,9 @@ def join_bases(rates: DataFrame, census: DataFrame, education: DataFrame, crime:
                mean_columns: Sequence[str] | None = None) -> DataFrame:
     """Modelling table: five bases on (tract, year), the tract dimension, group means."""
     joined = reduce(lambda a, b: disjoint(a, b, KEY), [rates, census, education, crime, building])
-    return with_group_means(dimension_join(joined, tracts, dim_first=tracts_first), columns=mean_columns)
+    # The means read the joined table a second time.
+    joined = stage(dimension_join(joined, tracts, dim_first=tracts_first), "joined-bases")
+    return with_group_means(joined, columns=mean_columns)
 
 
 def with_next_year(df: DataFrame, value: str, key: str = "tract", year: str = "year",

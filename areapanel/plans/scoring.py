@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from areapanel.operators import features as FE
 from areapanel.operators import metrics as M
 from areapanel.operators import models as ML
 from areapanel.operators.ordering import flag_top_k
-from areapanel.session import scratch_path
+from areapanel.session import scratch_path, stage
 from areapanel.sources.landed import write_csv
 
 LEVELS = ("low", "medium", "high")
@@ -46,6 +47,7 @@ def production_score(labelled: DataFrame, test_year: int, keys: Sequence[str] =
     """Train on all other years, score `test_year`, flag the top share by each model."""
     numeric = FE.numeric_columns(labelled, exclude=["label", "label_prev_year", *keys])
     to_bin = list(to_bin or FE.continuous_columns(labelled.select(*numeric)))
+    labelled = stage(labelled, "labelled")
     train, test = (labelled.where(c) for c in (F.col("year") != test_year, F.col("year") == test_year))
     train_x = FE.process_features(train, to_bin, labels=LEVELS, impute=numeric).persist(StorageLevel.MEMORY_AND_DISK)
     test_x = FE.process_features(test, to_bin, labels=LEVELS, impute=numeric,
@@ -75,29 +77,37 @@ def split_bounds(splits: DataFrame, year: str = "year") -> DataFrame:
 
 
 def grid_scores(featured: DataFrame, models: Sequence[str], grid: Mapping[str, Mapping], predictors: Sequence[str],
-                keys: Sequence[str] = ("tract", "year"), label: str = "label", path: str | None = None) -> DataFrame:
+                keys: Sequence[str] = ("tract", "year"), label: str = "label", path: str | None = None,
+                parallelism: int = 4) -> DataFrame:
     """Scores of every split, model and parameter point in one long table.
 
-    Each fit is a distributed job over the cached features; its scores are appended
-    to a table in the shared folder, which also ends the lineage of the fits.
+    Each fit is a distributed job over the cached features; its scores become one
+    partition of a table in the shared folder, which also ends the lineage of the fits.
     """
     spark = featured.sparkSession
     path = path or scratch_path(spark, "grid-scores")
     narrow = featured.select("split_date", "role", *keys, label, *predictors).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for split in narrow.select("split_date").distinct().orderBy("split_date").collect():
-            own = narrow.where(F.col("split_date") == F.lit(split.split_date))
+        dates = [r.split_date for r in narrow.select("split_date").distinct().orderBy("split_date").collect()]
+        points = [(d, name, params) for d in dates for name in models for params in ML.grid_points(grid[name])]
+
+        @inheritable_thread_target(spark)
+        def fit_and_score(point) -> None:
+            day, name, params = point
+            own = narrow.where(F.col("split_date") == F.lit(day))
             train, test = (own.where(F.col("role") == r) for r in ("train", "test"))
-            for name in models:
-                for params in ML.grid_points(grid[name]):
-                    scores = ML.run_model(train, test, name, params, predictors, keys, label)
-                    scores.select(F.lit(name).alias("model_type"), F.lit(ML.params_text(params)).alias("parameters"),
-                                  "split_date", *keys, F.col("score").cast("double").alias("score"),
-                                  F.col(label).cast("int").alias(label)) \
-                          .write.mode("append").parquet(path)
+            scores = ML.run_model(train, test, name, params, predictors, keys, label)
+            scores.select(F.lit(name).alias("model_type"), F.lit(ML.params_text(params)).alias("parameters"),
+                          "split_date", *keys, F.col("score").cast("double").alias("score"),
+                          F.col(label).cast("int").alias(label)) \
+                  .write.parquet(f"{path}/point={points.index(point)}")
+
+        # The fits are independent jobs; a few at a time keep the cluster busy between iterations.
+        with ThreadPool(parallelism) as pool:
+            pool.map(fit_and_score, points)
     finally:
         narrow.unpersist()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("point")
 
 
 def grid_results(scores: DataFrame, splits: DataFrame, keys: Sequence[str] = ("tract", "year"),
