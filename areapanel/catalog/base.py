@@ -91,7 +91,10 @@ def offence_code() -> Column:
 
 
 def line_parts(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
+    """Lines with their part; the code and class are worked out once per part."""
+    part = table(spark, folder, "part").select(
+        "p_partkey", "p_type", offence_code().alias("fbi_code"),
+        S.classify(offence_code(), C.CRIME_CLASSES).alias("crime_class"))
     lines = table(spark, folder, "lineitem")
     return lines.join(part, lines.l_partkey == part.p_partkey)
 
@@ -109,7 +112,7 @@ def line_y() -> Column:
 def incidents(spark: SparkSession, folder: str) -> DataFrame:
     return line_parts(spark, folder).select(
         S.zero_pad("l_suppkey").alias("tract"), F.year("l_shipdate").alias("year"),
-        S.classify(offence_code(), C.CRIME_CLASSES).alias("crime_class"),
+        "crime_class",
         F.when(F.col("l_partkey") % 7 != 0, F.col("p_type")).alias("primary_type"),
         (F.col("l_linestatus") == "F").cast("int").alias("domestic"),
         (F.col("l_returnflag") == "R").cast("int").alias("arrest"),
@@ -161,7 +164,8 @@ def raw_tracts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tract_polygons(spark: SparkSession, folder: str) -> DataFrame:
-    return L.tract_polygons(L.tract_table(raw_tracts(spark, folder)))
+    """Parsed boundaries as a written table; a spatial join reads them twice."""
+    return stage(L.tract_polygons(L.tract_table(raw_tracts(spark, folder))), "polygons")
 
 
 def tract_dimension(spark: SparkSession, folder: str) -> DataFrame:

@@ -159,8 +159,8 @@ def parse_struct(spark, folder):
 @query("point_from_struct", f"""
 SELECT (l_orderkey * 10 + l_linenumber)::varchar AS id, {B.LINE_X_SQL} AS x, {B.LINE_Y_SQL} AS y FROM lineitem""")
 def point_from_struct(spark, folder):
-    point = G.point_struct(G.parse_literal("location", G.POINT_SCHEMA))
-    return raw_incidents(spark, folder).select("id", point.alias("p")).select("id", "p.x", "p.y")
+    parsed = raw_incidents(spark, folder).select("id", G.parse_literal("location", G.POINT_SCHEMA).alias("l"))
+    return parsed.select("id", G.point_struct("l").alias("p")).select("id", "p.x", "p.y")
 
 
 @query("continuous_columns", """

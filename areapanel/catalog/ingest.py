@@ -27,7 +27,7 @@ def raw_incidents(spark, folder):
         F.when(F.col("l_partkey") % 13 == 1, F.lit("nan")).otherwise(x.cast("string")).alias("longitude"),
         (F.col("l_returnflag") == "R").cast("string").alias("arrest"),
         (F.col("l_linestatus") == "F").cast("string").alias("domestic"),
-        B.offence_code().alias("fbi_code"), F.col("p_type").alias("primary_type"),
+        "fbi_code", F.col("p_type").alias("primary_type"),
         F.when(F.col("l_orderkey") % 2 == 0, by_name).otherwise(by_type).alias("location"))
 
 

@@ -18,6 +18,7 @@ from areapanel.operators.sizing import pin_small
 QUANTILE_DIGITS = 9
 # Aggregates per job when profiling very wide tables.
 COLUMNS_PER_JOB = 200
+SKETCH_ERROR = 0.02
 
 
 def yearly_threshold(df: DataFrame, value: str, quantile: float, year: str = "year") -> DataFrame:
@@ -242,11 +243,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def continuous_columns(df: DataFrame, more_than: int = 30, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric columns with more than `more_than` distinct values, in table order."""
+    """Numeric columns with more than `more_than` distinct values, in table order.
+
+    A sketch settles the columns far from the limit in one pass; only columns near
+    it, which have few values, are counted exactly.
+    """
     numeric = numeric_columns(df, exclude)
     wide: set[str] = set()
     for batch in _column_batches(numeric):
-        wide |= {r.column_name for r in distinct_counts(df, batch).where(F.col("n_distinct") > more_than).collect()}
+        rough = df.agg(*[F.approx_count_distinct(c, SKETCH_ERROR).alias(c) for c in batch]).first()
+        wide |= {c for c in batch if rough[c] > 2 * more_than}
+        near = [c for c in batch if more_than / 2 < rough[c] <= 2 * more_than]
+        if near:
+            wide |= {r.column_name for r in distinct_counts(df, near).where(F.col("n_distinct") > more_than).collect()}
     return [c for c in numeric if c in wide]
 
 

@@ -114,7 +114,6 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     decide whether one task per group is enough.
     """
     groups = list(groups)
-    spark = df.sparkSession
     totals = df.groupBy(*groups).agg(F.count("*").alias("_rows"),
                                      *[F.sum(s).alias(f"{s}_all") for s in sums])
     pinned = pin_small(totals)
@@ -128,7 +127,8 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         run = df.withColumns({f"{s}_run": F.sum(s).over(w) for s in sums})
     else:
-        run = _sliced_running_totals(df, groups, order, sums, rows_per_task, spark)
+        total = sum(pinned.table.column("_rows").to_pylist()) if pinned.is_small else totals.agg(F.sum("_rows")).first()[0]
+        run = _sliced_running_totals(df, groups, order, sums, max(2, -(-total // rows_per_task)))
 
     if groups:
         return run.join(pinned.frame.drop("_rows"), groups)
@@ -136,10 +136,8 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     return run.withColumns({f"{s}_all": F.lit(row[f"{s}_all"]) for s in sums})
 
 
-def _sliced_running_totals(df, groups, order, sums, rows_per_task, spark):
-    total = df.count()
-    slices = max(2, -(-total // rows_per_task))
-    ensure_checkpoint_dir(spark)
+def _sliced_running_totals(df, groups, order, sums, slices):
+    ensure_checkpoint_dir(df.sparkSession)
     # Both uses below must see the same slices, so they are written down once.
     sliced = (df.repartitionByRange(slices, *[F.col(g) for g in groups], *order)
                 .withColumn("_slice", F.spark_partition_id()).checkpoint())

@@ -8,14 +8,17 @@ one cell, so the join needs no distinct afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from areapanel.functions.geometry import crossings_odd, on_an_edge
+from areapanel.session import stage
 
-CELLS_PER_POLYGON = 16
-BROADCAST_CELLS = 100_000
-BROADCAST_EDGES = 1_000_000
+CELLS_PER_POLYGON = 64
+POLYGONS_PER_TASK = 100
+# A cell row is about 100 bytes and an edge 32, so a broadcast stays near 150 MB.
+BROADCAST_CELLS = 1_000_000
+BROADCAST_EDGES = 2_000_000
 
 
 def _bounds(polygons: DataFrame) -> DataFrame:
@@ -24,15 +27,22 @@ def _bounds(polygons: DataFrame) -> DataFrame:
         "_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
 
 
-def cell_size(polygons: DataFrame, per_polygon: int = CELLS_PER_POLYGON) -> float:
-    """A cell side that keeps the number of cells linear in the number of polygons."""
+def _extent(polygons: DataFrame) -> Row:
     w, h = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
-    row = _bounds(polygons).agg(F.count("*").alias("n"), F.sum(w * h).alias("area"),
-                                F.sum(w + h).alias("extent")).first()
-    if not row.n or not row.extent:
+    return _bounds(polygons).agg(F.count("*").alias("n"), F.sum(w * h).alias("area"),
+                                 F.sum(w + h).alias("extent")).first()
+
+
+def _side(extent: Row, per_polygon: int) -> float:
+    if not extent.n or not extent.extent:
         return 1.0
-    budget = per_polygon * row.n
-    return max((row.area / budget) ** 0.5, row.extent / budget)
+    budget = per_polygon * extent.n
+    return max((extent.area / budget) ** 0.5, extent.extent / budget)
+
+
+def cell_size(polygons: DataFrame, per_polygon: int = CELLS_PER_POLYGON) -> float:
+    """A cell side that keeps the number of cells linear in the number of polygons."""
+    return _side(_extent(polygons), per_polygon)
 
 
 def cell_index(c: Column, side: float) -> Column:
@@ -68,10 +78,14 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "x", y: str =
     """Inner join of points to every polygon they intersect, borders included.
 
     `polygons` has an `edges` column and its own attributes; points without
-    coordinates drop out.
+    coordinates drop out. The cells are written once, sized, and broadcast if they
+    are few; otherwise points and cells meet in a shuffle join on the cell.
     """
-    side = side or cell_size(polygons)
-    cells = polygon_cells(polygons, side)
+    extent = _extent(polygons)
+    side = side or _side(extent, CELLS_PER_POLYGON)
+    # Boundary files are small, so they arrive in few partitions; cutting cells is real work.
+    spread = polygons.repartition(max(1, -(-extent.n // POLYGONS_PER_TASK)))
+    cells = stage(polygon_cells(spread, side), "cells")
     size = cells.agg(F.count("*").alias("cells"), F.sum(F.coalesce(F.size("edges"), F.lit(0))).alias("edges")).first()
     if size.cells <= BROADCAST_CELLS and (size.edges or 0) <= BROADCAST_EDGES:
         cells = F.broadcast(cells)

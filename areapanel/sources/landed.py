@@ -93,8 +93,9 @@ def ingest_violations(raw: DataFrame) -> DataFrame:
 
 
 def _located(df: DataFrame) -> DataFrame:
-    point = G.point_struct(G.parse_literal("location", G.POINT_SCHEMA))
-    return df.withColumn("_p", point).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_p", "location")
+    # Parsed in a projection of its own, so that each text is read once.
+    parsed = df.withColumn("_l", G.parse_literal("location", G.POINT_SCHEMA)).withColumn("_p", G.point_struct("_l"))
+    return parsed.withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_l", "_p", "location")
 
 
 def incident_points(raw: DataFrame) -> DataFrame:

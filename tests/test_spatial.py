@@ -54,7 +54,7 @@ def test_cells_stay_linear_in_polygons(values):
     shapes, _ = polygons(values)
     side = SP.cell_size(shapes)
     cells = SP.polygon_cells(shapes, side)
-    assert cells.count() <= 33 * 3
+    assert cells.count() <= (2 * SP.CELLS_PER_POLYGON + 1) * 3
     assert cells.where("_inside and edges is not null").count() == 0
 
 
