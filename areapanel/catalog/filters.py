@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from areapanel.catalog import base as B
@@ -18,7 +16,7 @@ from areapanel.sources import landed as L
 SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'""")
 def date_interval_filter(spark, folder):
     day = F.col("o_orderdate")
-    low, high = (F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz") for y in (1997, 1998))
+    low, high = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (1997, 1998))
     return table(spark, folder, "orders").where((day >= low) & (day < high)).select("o_orderkey")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.operators.ordering import positions, running_totals, top_count, value_counts
+from areapanel.operators.ordering import positions, running_counts, top_count
 from areapanel.operators.panel import non_null_keys, union_by_name, union_common
 
 # The shares of the population, in percent, that results are reported at.
@@ -80,8 +80,7 @@ def random_baseline(df: DataFrame, label: str, groups: Sequence[str] = ()) -> Da
 def score_counts(df: DataFrame, score: str, label: str, groups: Sequence[str]) -> DataFrame:
     """Rows and positives per distinct score of a run, with running sums from the top score."""
     y = F.col(label).cast("long")
-    counts = value_counts(df, groups, score, {"n": F.count("*"), "pos": F.sum(y)})
-    return running_totals(counts, groups, [F.col(score).desc()], ["n", "pos"])
+    return running_counts(df, groups, score, {"n": F.count("*"), "pos": F.sum(y)}, descending=True)
 
 
 def roc_auc(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -107,15 +107,17 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str,
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str],
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK, totals: DataFrame | None = None) -> DataFrame:
     """Cumulative `<s>_run` and whole-group `<s>_all` for each column in `sums`.
 
     `order` must be total within a group. The group sizes are fetched first; they
-    decide whether one task per group is enough.
+    decide whether one task per group is enough. A caller that can get them more
+    cheaply passes `totals` with `_rows` (it may be approximate) and `<s>_all`.
     """
     groups = list(groups)
-    totals = df.groupBy(*groups).agg(F.count("*").alias("_rows"),
-                                     *[F.sum(s).alias(f"{s}_all") for s in sums])
+    if totals is None:
+        totals = df.groupBy(*groups).agg(F.count("*").alias("_rows"),
+                                         *[F.sum(s).alias(f"{s}_all") for s in sums])
     pinned = pin_small(totals)
     if pinned.is_small:
         largest = max(pinned.table.column("_rows").to_pylist(), default=0)
@@ -153,6 +155,21 @@ def _sliced_running_totals(df, groups, order, sums, slices):
     return joined.drop("_slice", *[f"_{s}_{x}" for s in sums for x in ("within", "before")])
 
 
+def running_counts(df: DataFrame, groups: Sequence[str], value: str, sums: Mapping[str, Column] | None = None,
+                   descending: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """One row per distinct value of a group with sums, running sums and group sums.
+
+    Group sums come from the rows themselves with a distinct-count sketch, so the
+    per-value table is shuffled once only.
+    """
+    sums = dict(sums or {"n": F.count("*")})
+    known = non_null_keys(df, groups).where(F.col(value).isNotNull())
+    totals = known.groupBy(*groups).agg(F.approx_count_distinct(value).alias("_rows"),
+                                        *[c.alias(f"{n}_all") for n, c in sums.items()])
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    return running_totals(value_counts(df, groups, value, sums), groups, [order], list(sums), rows_per_task, totals)
+
+
 def positions(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """0-based `position` in each group's total order, and the group's `group_rows`."""
@@ -164,8 +181,7 @@ def positions(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
 def percentile_ranks(df: DataFrame, value: str, groups: Sequence[str] = (),
                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(group, value, pct_rank) per distinct value: average rank of ties over the non-missing count."""
-    counts = value_counts(df, groups, value)
-    run = running_totals(counts, groups, [F.col(value).asc()], ["n"], rows_per_task)
+    run = running_counts(df, groups, value, rows_per_task=rows_per_task)
     average_rank = F.col("n_run") - F.col("n") + (F.col("n") + 1) / 2
     return run.select(*groups, value, (average_rank / F.col("n_all")).alias("pct_rank"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -23,11 +22,9 @@ def between_years(df: DataFrame, column: str, first: int | None, last: int | Non
     if first is None or last is None:
         return df
     if is_date:
-        low, high = dt.datetime(first, 1, 1), dt.datetime(last + 1, 1, 1)
-        if dict(df.dtypes)[column] == "string":
-            return df.where((F.col(column) >= low.isoformat()) & (F.col(column) < high.isoformat()))
-        kind = dict(df.dtypes)[column]
-        return df.where((F.col(column) >= F.lit(low).cast(kind)) & (F.col(column) < F.lit(high).cast(kind)))
+        # Literals in the column's own type reach the file source; ISO text compares as text.
+        low, high = (F.lit(f"{y:04d}-01-01").cast(dict(df.dtypes)[column]) for y in (first, last + 1))
+        return df.where((F.col(column) >= low) & (F.col(column) < high))
     return df.where(F.col(column).between(first, last))
 
 

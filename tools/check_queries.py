@@ -1,11 +1,13 @@
 """Run queries against their SQL in DuckDB: columns, types, row counts and values.
 
 usage: check_queries.py FOLDER [NAME ...]
+CHECK_CONF holds further session settings, such as "spark.sql.session.timeZone=Asia/Tokyo".
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -17,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from areapanel.catalog import QUERIES, SQL  # noqa: E402
 from areapanel.session import build_session  # noqa: E402
 
+CONF = dict(pair.split("=", 1) for pair in os.environ.get("CHECK_CONF", "").split() if pair)
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
@@ -60,8 +63,8 @@ def compare(df, con, sql) -> tuple[list[str], int]:
 
 def main() -> None:
     folder, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
-    spark = build_session("check", "local[8]", {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-                                                "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("check", "local[8]", {
+        "spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false", **CONF})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0
