@@ -66,10 +66,10 @@ def median_impute(df: DataFrame, columns: Sequence[str] | None = None, groups: S
     columns = [c for c in (columns or numeric) if c in numeric]
     if not columns:
         return df
-    medians = column_medians(df, columns, groups)
+    medians = column_medians(df, columns, groups, "__median")
     joined = _attach(df, medians, groups)
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) for c in columns}
-    return joined.withColumns(filled).drop(*[f"{c}_median" for c in columns])
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__median")) for c in columns}
+    return joined.withColumns(filled).drop(*[f"{c}__median" for c in columns])
 
 
 def _attach(df: DataFrame, stats: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -107,7 +107,7 @@ def label_of(code: Column, labels: Sequence[str]) -> Column:
 
 def column_ranges(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     stats = [f(F.col(c).cast("double")).alias(f"{c}{tag}")
-             for c in columns for f, tag in ((F.min, "_low"), (F.max, "_high"))]
+             for c in columns for f, tag in ((F.min, "__low"), (F.max, "__high"))]
     return df.groupBy(*groups).agg(*stats)
 
 
@@ -118,11 +118,11 @@ def discretize(df: DataFrame, columns: Sequence[str], bins: int = 3, labels: Seq
     joined = _attach(df, ranges, groups)
 
     def bin_of(c: str) -> Column:
-        code = bin_code(F.col(c).cast("double"), F.col(f"{c}_low"), F.col(f"{c}_high"), bins)
+        code = bin_code(F.col(c).cast("double"), F.col(f"{c}__low"), F.col(f"{c}__high"), bins)
         return label_of(code, labels) if labels else code
 
     out = joined.withColumns({f"{c}{suffix}": bin_of(c) for c in columns})
-    return out.drop(*[f"{c}{t}" for c in columns for t in ("_low", "_high")])
+    return out.drop(*[f"{c}{t}" for c in columns for t in ("__low", "__high")])
 
 
 def cut_column(df: DataFrame, old: str, new: str, bins: int, labels: Sequence[str]) -> DataFrame:
@@ -166,7 +166,7 @@ def process_features(df: DataFrame, to_bin: Sequence[str], bins: int = 3, labels
     numeric = numeric_columns(df, exclude=groups)
     fill = [c for c in (impute if impute is not None else numeric) if c in numeric]
     source = df if fit_on is None else fit_on
-    medians = column_medians(source, fill, groups) if fill else None
+    medians = column_medians(source, fill, groups, "__median") if fill else None
     # A median lies within its column's range, so filling does not move the range.
     ranges = column_ranges(source, to_bin, groups)
     if medians is not None and groups:
@@ -179,11 +179,11 @@ def process_features(df: DataFrame, to_bin: Sequence[str], bins: int = 3, labels
         stats = ranges
     joined = _attach(df, stats, groups)
     if fill:
-        joined = joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) for c in fill})
+        joined = joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__median")) for c in fill})
     coded = joined.withColumns({
-        f"{c}_group": label_of(bin_code(F.col(c).cast("double"), F.col(f"{c}_low"), F.col(f"{c}_high"), bins), labels)
+        f"{c}_group": label_of(bin_code(F.col(c).cast("double"), F.col(f"{c}__low"), F.col(f"{c}__high"), bins), labels)
         for c in to_bin})
-    kept = coded.drop(*[f"{c}_median" for c in fill], *[f"{c}{t}" for c in to_bin for t in ("_low", "_high")])
+    kept = coded.drop(*[f"{c}__median" for c in fill], *[f"{c}{t}" for c in to_bin for t in ("__low", "__high")])
     return one_hot(kept, {f"{c}_group": labels for c in to_bin})
 
 

@@ -80,15 +80,16 @@ def random_baseline(df: DataFrame, label: str, groups: Sequence[str] = ()) -> Da
 def score_counts(df: DataFrame, score: str, label: str, groups: Sequence[str]) -> DataFrame:
     """Rows and positives per distinct score of a run, with running sums from the top score."""
     y = F.col(label).cast("long")
-    return running_counts(df, groups, score, {"n": F.count("*"), "pos": F.sum(y)}, descending=True)
+    return running_counts(df, groups, score, {"_n": F.count("*"), "_pos": F.sum(y)}, descending=True)
 
 
 def roc_auc(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
     """Chance that a positive outranks a negative, ties counting half; missing if a class is absent."""
     c = score_counts(df, score, label, groups)
-    neg, above = F.col("n") - F.col("pos"), F.col("pos_run") - F.col("pos")
-    wins = F.sum((neg * above).cast("double") + (neg * F.col("pos")).cast("double") / 2)
-    pairs = F.first("pos_all").cast("double") * (F.first("n_all") - F.first("pos_all"))
+    # Pair counts outgrow a long on large runs, so they are doubles from the start.
+    neg = (F.col("_n") - F.col("_pos")).cast("double")
+    wins = F.sum(neg * (F.col("_pos_run") - F.col("_pos")) + neg * F.col("_pos") / 2)
+    pairs = F.first("_pos_all").cast("double") * (F.first("_n_all") - F.first("_pos_all"))
     return c.groupBy(*groups).agg(F.when(pairs > 0, wins / pairs).alias("auc_roc"))
 
 
@@ -98,11 +99,11 @@ def pr_curve(df: DataFrame, score: str, label: str, groups: Sequence[str] = ())
     The curve ends at the first score that reaches full recall.
     """
     c = score_counts(df, score, label, groups)
-    kept = c.where((F.col("pos_run") - F.col("pos") < F.col("pos_all")))
+    kept = c.where((F.col("_pos_run") - F.col("_pos") < F.col("_pos_all")))
     return kept.select(*groups, F.col(score).alias("threshold"),
-                       safe_ratio(F.col("pos_run"), F.col("n_run")).alias("precision"),
-                       safe_ratio(F.col("pos_run"), F.col("pos_all")).alias("recall"),
-                       safe_ratio(F.col("n_run"), F.col("n_all")).alias("pct_population"))
+                       safe_ratio(F.col("_pos_run"), F.col("_n_run")).alias("precision"),
+                       safe_ratio(F.col("_pos_run"), F.col("_pos_all")).alias("recall"),
+                       safe_ratio(F.col("_n_run"), F.col("_n_all")).alias("pct_population"))
 
 
 def bias_crosstab(df: DataFrame, flag: str, label: str, attributes: Sequence[str],

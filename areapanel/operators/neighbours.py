@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 4_096
 # Bytes of training vectors that may be shipped whole to each executor.
 BROADCAST_BYTES = 64 << 20
+# Bytes of vectors on either side of one block pair beyond that.
+BLOCK_BYTES = 64 << 20
+# Distances held at a time inside a task.
+MATRIX_CELLS = 8 << 20
 
 
 def _distances(test: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -59,8 +62,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def knn_score(train: DataFrame, test: DataFrame, keys: Sequence[str], features: str, label: str,
-              k: int = 5, weights: str = "uniform", block_rows: int = BLOCK_ROWS,
-              broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+              k: int = 5, weights: str = "uniform", broadcast_bytes: int = BROADCAST_BYTES,
+              block_bytes: int = BLOCK_BYTES, matrix_cells: int = MATRIX_CELLS) -> DataFrame:
     """(keys, score): mean label of the k nearest training rows, uniform or by 1/distance."""
     spark = test.sparkSession
     doubles = F.col(features).cast("array<double>")
@@ -73,9 +76,12 @@ def knn_score(train: DataFrame, test: DataFrame, keys: Sequence[str], features:
     if not size.rows:
         return test.select(*keys, F.lit(None).cast("double").alias("score"))
 
-    def summary(frame: pd.DataFrame, vectors, counts, positives) -> pd.DataFrame:
-        rows, d, n, s = _summaries(_matrix(frame["_t"]), vectors, counts, positives, k)
-        return frame[list(keys)].iloc[rows].assign(_d=d, _n=n, _s=s)
+    def summaries(frame: pd.DataFrame, vectors, counts, positives):
+        step = max(1, matrix_cells // len(vectors))
+        for at in range(0, len(frame), step):
+            part = frame.iloc[at:at + step]
+            rows, d, n, s = _summaries(_matrix(part["_t"]), vectors, counts, positives, k)
+            yield part[list(keys)].iloc[rows].assign(_d=d, _n=n, _s=s)
 
     if size.rows * size.width * 8 <= broadcast_bytes:
         known_pdf = known.toPandas()
@@ -83,14 +89,13 @@ def knn_score(train: DataFrame, test: DataFrame, keys: Sequence[str], features:
             (_matrix(known_pdf["_x"]), known_pdf["_n"].to_numpy(), known_pdf["_s"].to_numpy()))
 
         def against_all(batches):
-            vectors, counts, positives = shipped.value
-            step = max(1, (block_rows * block_rows) // len(vectors))
             for frame in batches:
-                for at in range(0, len(frame), step):
-                    yield summary(frame.iloc[at:at + step], vectors, counts, positives)
+                yield from summaries(frame, *shipped.value)
 
         near = scored.mapInPandas(against_all, near_type)
     else:
+        # Every block meets every chunk once; large ones keep the copies few.
+        block_rows = max(1, block_bytes // (8 * max(1, size.width)))
         blocks = -(-size.rows // block_rows)
         chunks = max(1, -(-scored.count() // block_rows))
         # Distinct vectors hash evenly, so no block or chunk outgrows its task.
@@ -102,7 +107,8 @@ def knn_score(train: DataFrame, test: DataFrame, keys: Sequence[str], features:
         def against_block(known_part: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
             if known_part.empty or part.empty:
                 return pd.DataFrame({f.name: pd.Series(dtype="object") for f in near_type.fields})
-            return summary(part, _matrix(known_part["_x"]), known_part["_n"].to_numpy(), known_part["_s"].to_numpy())
+            return pd.concat(summaries(part, _matrix(known_part["_x"]), known_part["_n"].to_numpy(),
+                                       known_part["_s"].to_numpy()))
 
         near = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")) \
             .applyInPandas(against_block, near_type) \

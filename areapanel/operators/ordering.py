@@ -101,7 +101,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
 def value_counts(df: DataFrame, groups: Sequence[str], value: str,
                  sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows per distinct value of a group (missing values left out)."""
-    sums = dict(sums or {"n": F.count("*")})
+    sums = dict(sums or {"_n": F.count("*")})
     return (non_null_keys(df, groups).where(F.col(value).isNotNull())
             .groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()]))
 
@@ -162,7 +162,7 @@ def running_counts(df: DataFrame, groups: Sequence[str], value: str, sums: Mappi
     Group sums come from the rows themselves with a distinct-count sketch, so the
     per-value table is shuffled once only.
     """
-    sums = dict(sums or {"n": F.count("*")})
+    sums = dict(sums or {"_n": F.count("*")})
     known = non_null_keys(df, groups).where(F.col(value).isNotNull())
     totals = known.groupBy(*groups).agg(F.approx_count_distinct(value).alias("_rows"),
                                         *[c.alias(f"{n}_all") for n, c in sums.items()])
@@ -180,16 +180,16 @@ def positions(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
 
 def percentile_ranks(df: DataFrame, value: str, groups: Sequence[str] = (),
                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(group, value, pct_rank) per distinct value: average rank of ties over the non-missing count."""
+    """(group, value, _pct) per distinct value: average rank of ties over the non-missing count."""
     run = running_counts(df, groups, value, rows_per_task=rows_per_task)
-    average_rank = F.col("n_run") - F.col("n") + (F.col("n") + 1) / 2
-    return run.select(*groups, value, (average_rank / F.col("n_all")).alias("pct_rank"))
+    average_rank = F.col("_n_run") - F.col("_n") + (F.col("_n") + 1) / 2
+    return run.select(*groups, value, (average_rank / F.col("_n_all")).alias("_pct"))
 
 
 def with_percentile_rank(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "pct_rank",
                          rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Each row with its percentile rank; a missing value has none."""
-    ranks = percentile_ranks(df, value, groups, rows_per_task).withColumnRenamed("pct_rank", name)
+    ranks = percentile_ranks(df, value, groups, rows_per_task).withColumnRenamed("_pct", name)
     return df.join(ranks, [*groups, value], "left")
 
 
@@ -200,8 +200,8 @@ def percentile_cut(df: DataFrame, value: str, groups: Sequence[str], limit: floa
     The rank grows with the value, so this one number replaces a rank per row.
     """
     ranks = percentile_ranks(df, value, groups)
-    passed = F.col("pct_rank") > limit if strict else F.col("pct_rank") >= limit
-    return ranks.where(passed).groupBy(*groups).agg(F.min(value).alias("cut"))
+    passed = F.col("_pct") > limit if strict else F.col("_pct") >= limit
+    return ranks.where(passed).groupBy(*groups).agg(F.min(value).alias("_cut"))
 
 
 def top_share(df: DataFrame, value: str, groups: Sequence[str] = (), limit: float = 0.90,
@@ -210,7 +210,7 @@ def top_share(df: DataFrame, value: str, groups: Sequence[str] = (), limit: floa
     cuts = percentile_cut(df, value, groups, limit, strict)
     if not groups:
         return df.where(F.col(value) >= cuts.scalar())
-    return df.join(pin_small(cuts).frame, list(groups)).where(F.col(value) >= F.col("cut")).drop("cut")
+    return df.join(pin_small(cuts).frame, list(groups)).where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
 def times_in_top(df: DataFrame, value: str, period: str, key: str, more_than: int,
@@ -218,7 +218,7 @@ def times_in_top(df: DataFrame, value: str, period: str, key: str, more_than: in
     """Keys that are in the top share in more than `more_than` periods, with the count."""
     cuts = pin_small(percentile_cut(df, value, [period], limit, strict=False)).frame
     flagged = df.join(cuts, [period], "left")
-    hit = F.coalesce(F.col(value) >= F.col("cut"), F.lit(False)).cast("int")
+    hit = F.coalesce(F.col(value) >= F.col("_cut"), F.lit(False)).cast("int")
     return (non_null_keys(flagged, [key]).groupBy(key).agg(F.sum(hit).alias("times"))
             .where(F.col("times") > more_than))
 

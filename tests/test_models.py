@@ -55,7 +55,7 @@ def test_importance_is_positive_and_ordered(separable):
 
 
 @pytest.mark.parametrize("weights", ["uniform", "distance"])
-@pytest.mark.parametrize("blocks", [{}, {"broadcast_bytes": 0, "block_rows": 16}])
+@pytest.mark.parametrize("blocks", [{}, {"broadcast_bytes": 0, "block_bytes": 16 * 24, "matrix_cells": 64}])
 def test_neighbours_match_brute_force(spark, weights, blocks):
     """Whole-number vectors give many equal distances and duplicate rows."""
     rng = np.random.default_rng(4)
