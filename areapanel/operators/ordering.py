@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.functions.scalar import nan_to_null
 from areapanel.operators.sizing import pin_small
-from areapanel.session import ensure_checkpoint_dir
+from areapanel.session import ensure_checkpoint_dir, stage
 
 ROWS_PER_TASK = 2_000_000
 SKETCH_ACCURACY = 10_000
@@ -33,18 +34,37 @@ def non_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])) if keys else df
 
 
+def _bracketed_rows(n: Column, quantiles: int, accuracy: int) -> Column:
+    """About how many distinct values of a group of n rows lie inside its brackets."""
+    share = 2 * BRACKET_WIDTH * quantiles / accuracy
+    return F.when(n <= accuracy, n).otherwise(F.ceil(n * F.lit(share)))
+
+
+def _sized(stats: DataFrame) -> tuple[DataFrame, int, int, pa.Table | None]:
+    """Per-group statistics as a join side, their largest and total `_rows`, and the rows if they are few."""
+    pinned = pin_small(stats)
+    if pinned.is_small:
+        sizes = pinned.table.column("_rows").to_pylist()
+        return pinned.frame, max(sizes, default=0), sum(sizes), pinned.table
+    written = stage(stats, "group-stats")
+    largest, total = written.agg(F.max("_rows"), F.sum("_rows")).first()
+    return written, largest, total, None
+
+
 def _quantile_names(n: int) -> list[str]:
     return [f"q{i}" for i in range(n)]
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    names: Sequence[str] | None = None, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                    names: Sequence[str] | None = None, accuracy: int = SKETCH_ACCURACY,
+                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     Pass one sketches each group and reads a low and a high mark around every
     quantile. Pass two keeps only values between marks, counts everything else
     per gap, and reads the two order statistics off the exact running count.
-    Groups smaller than the sketch keep all their values.
+    Groups smaller than the sketch keep all their values; where even the values
+    between marks are too many for one task, the running count is sliced.
     """
     groups = list(groups)
     names = list(names or _quantile_names(len(probs)))
@@ -55,11 +75,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
         .where(F.col("_v").isNotNull())
     sketch = src.groupBy(*groups).agg(
         F.percentile_approx("_v", marks, accuracy).alias("_marks"), F.count("*").alias("_n"))
+    sketch = sketch.withColumn("_rows", _bracketed_rows(F.col("_n"), len(probs), accuracy))
+    sketch, largest, total, table = _sized(sketch)
     if groups:
-        tagged = src.join(pin_small(sketch).frame, groups)
+        tagged = src.join(sketch.drop("_rows"), groups)
     else:
-        one_row = sketch.select(F.struct("_marks", "_n").alias("s")).scalar()
-        tagged = src.withColumn("_s", one_row).select("_v", "_s._marks", "_s._n")
+        row = table.to_pylist()[0]
+        known = [F.lit(m) for m in row["_marks"] or [None] * len(marks)]
+        tagged = src.select("_v", F.array(*known).cast("array<double>").alias("_marks"), F.lit(row["_n"]).alias("_n"))
 
     v, whole = F.col("_v"), F.col("_n") <= accuracy
     inside, highs = F.lit(False), []
@@ -76,9 +99,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
                           F.when(inside, 0).otherwise(1).alias("_gap"))
     counted = keyed.groupBy(*groups, "_key", "_gap").agg(
         F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    in_order = Window.partitionBy(*groups).orderBy(F.col("_key").asc_nulls_first(), "_gap") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_through", F.sum("_c").over(in_order))
+    ranked = _accumulate(counted, groups, [F.col("_key").asc_nulls_first(), F.col("_gap").asc()], ["_c"],
+                         largest, total, rows_per_task).withColumnRenamed("_c_run", "_through")
 
     picks = []
     for i, p in enumerate(probs):
@@ -118,26 +140,24 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     if totals is None:
         totals = df.groupBy(*groups).agg(F.count("*").alias("_rows"),
                                          *[F.sum(s).alias(f"{s}_all") for s in sums])
-    pinned = pin_small(totals)
-    if pinned.is_small:
-        largest = max(pinned.table.column("_rows").to_pylist(), default=0)
-    else:
-        largest = totals.agg(F.max("_rows")).first()[0]
-
-    if largest <= rows_per_task:
-        w = Window.partitionBy(*groups).orderBy(*order) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = df.withColumns({f"{s}_run": F.sum(s).over(w) for s in sums})
-    else:
-        total = sum(pinned.table.column("_rows").to_pylist()) if pinned.is_small else totals.agg(F.sum("_rows")).first()[0]
-        run = _sliced_running_totals(df, groups, order, sums, max(2, -(-total // rows_per_task)))
+    totals, largest, total, table = _sized(totals)
 
+    run = _accumulate(df, groups, order, sums, largest, total, rows_per_task)
     if groups:
-        return run.join(pinned.frame.drop("_rows"), groups)
-    row = pinned.table.to_pylist()[0]
+        return run.join(totals.drop("_rows"), groups)
+    row = table.to_pylist()[0]
     return run.withColumns({f"{s}_all": F.lit(row[f"{s}_all"]) for s in sums})
 
 
+def _accumulate(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str],
+                largest: int, total: int, rows_per_task: int) -> DataFrame:
+    """`<s>_run` per row: a window per group, or slices once the largest group outgrows a task."""
+    if largest > rows_per_task:
+        return _sliced_running_totals(df, groups, order, sums, max(2, -(-total // rows_per_task)))
+    w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({f"{s}_run": F.sum(s).over(w) for s in sums})
+
+
 def _sliced_running_totals(df, groups, order, sums, slices):
     ensure_checkpoint_dir(df.sparkSession)
     # Both uses below must see the same slices, so they are written down once.

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areapanel.operators import ordering as O
+from areapanel.operators.sizing import pin_small as real_pin
 
 
 @pytest.fixture(scope="module")
@@ -16,12 +17,12 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, id long, v double").cache(), pd.DataFrame(rows, columns=["g", "id", "v"])
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_quantiles_match_linear_interpolation(skewed, accuracy):
-    """Accuracy 100 makes every group large enough for brackets."""
+@pytest.mark.parametrize("accuracy,rows_per_task", [(100, 10**9), (10_000, 10**9), (100, 150), (10_000, 400)])
+def test_quantiles_match_linear_interpolation(skewed, accuracy, rows_per_task):
+    """Accuracy 100 makes every group large enough for brackets; few rows per task force slices."""
     df, pdf = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = O.exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy).toPandas().set_index("g").sort_index()
+    got = O.exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy, rows_per_task=rows_per_task).toPandas().set_index("g").sort_index()
     want = pdf.groupby("g").v.quantile(probs).unstack()
     assert got.index.tolist() == want.index.tolist()
     for name, p in zip(got.columns, probs):
@@ -89,3 +90,12 @@ def test_quantile_classes_cover_all_rows(skewed):
     df, pdf = skewed
     got = O.quantile_classes(df.where("v > 0"), "v").groupBy("class_no").count().toPandas()
     assert got["count"].sum() == (pdf.v > 0).sum() and sorted(got.class_no) == [0, 1, 2, 3, 4]
+
+
+def test_more_groups_than_a_broadcast_side_holds(skewed, monkeypatch):
+    df, pdf = skewed
+    monkeypatch.setattr(O, "pin_small", lambda d, max_rows=2: real_pin(d, 2))
+    got = {r.g: r.q0 for r in O.exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert got == pytest.approx(pdf.groupby("g").v.median().to_dict())
+    flagged = O.flag_top_k(df, ["g"], [F.asc("id")], 10).groupBy("g").agg(F.sum("flag").alias("n")).collect()
+    assert {r.g: r.n for r in flagged} == {g: int(len(p) * 0.10) for g, p in pdf.groupby("g")}
