@@ -28,8 +28,8 @@ from areapanel.llm.tables import query, scratch_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-CACHED_PIECES = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 300_000
+CACHED_PAIRS = 300_000
 
 #: White space, and how this vocabulary cuts text into pieces.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0  -     　]"
