@@ -29,8 +29,10 @@ from areapanel.llm.words import SPACES, Words, blocks, mix, split_words
 N_GRAM = 5
 PERCENT = 80
 BLOCK_BYTES = 4 << 20
+STAR_ROUNDS = 3
 COUNT_BITS, COUNT_CHUNK_BITS = 24, 14
 SEEN_BITS, SEEN_CHUNK_BITS = 27, 20
+TOKEN_BITS = 48
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,7 +99,7 @@ def _profile(n: int):
         for chunk in range(0, (1 << COUNT_BITS) // step):
             part = counts[chunk * step:(chunk + 1) * step]
             if part.any():
-                blob = zlib.compress(part.tobytes(), 1)
+                blob = zlib.compress((part.astype(np.uint8) if part.max() < 256 else part).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(["counts"]), pa.array([chunk], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([blob], pa.binary())],
                     schema=schema)
@@ -116,7 +118,8 @@ def _add_counts(batches):
                 if chunk is not None:
                     yield done()
                 chunk, total = c, np.zeros(1 << COUNT_CHUNK_BITS, np.uint64)
-            total += np.frombuffer(zlib.decompress(blob), np.uint32)
+            data = zlib.decompress(blob)
+            total += np.frombuffer(data, np.uint8 if len(data) == len(total) else np.uint32)
     if chunk is not None:
         yield done()
 
@@ -143,7 +146,7 @@ def _prefixes(n, percent, classes):
                 seen.add(node)
                 k = len(grams) - required(len(grams), percent) + 1
                 rank = np.lexsort((grams, classes.value[(grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[:k]
-                tokens.append(grams[rank])
+                tokens.append(grams[rank] >> np.uint64(64 - TOKEN_BITS))  # equal tokens of unequal n-grams: candidates only
                 nodes.append(np.full(k, node, np.int64))
                 sizes.append(np.full(k, len(grams), np.int32))
                 places.append(np.arange(k, dtype=np.int32))
@@ -154,28 +157,63 @@ def _prefixes(n, percent, classes):
     return run
 
 
-LIVE = "token long, node long, n int, pos int, pivot long, pivot_n int, pivot_pos int"
+LIVE = "token long, node long, n int, pos int"
+LONG_RUN, SHORT_RUN = 4096, 8
 
 
-def _with_pivots(batches):
-    """Rows sorted by (token, n, node): drop n-grams of one node only, add the first node of each other n-gram."""
-    held = None
-    for batch in batches:
-        token, node, n, pos = (c.to_numpy() for c in batch.columns)
-        if held is not None:
-            token, node, n, pos = (np.concatenate([[a], b]).astype(b.dtype) for a, b in zip(held, (token, node, n, pos)))
-        if not len(token):
-            continue
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        lengths = np.diff(np.append(starts, len(token)))
-        first = np.repeat(starts, lengths)
+def _live(percent):
+    """Rows sorted by (token, node): those whose n-gram some other node has too.
+
+    In short runs a row also needs a partner that passes the length and positional filter.
+    """
+    def useful(starts, lengths, n, pos):
         keep = np.repeat(lengths > 1, lengths)
-        held = tuple(x[starts[-1]] for x in (token, node, n, pos))
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, pos, node[first], n[first], pos[first])],
-                                         ["token", "node", "n", "pos", "pivot", "pivot_n", "pivot_pos"])
+        for k in range(2, SHORT_RUN + 1):
+            first = starts[lengths == k]
+            if len(first):
+                at = first[:, None] + np.arange(k)
+                size, left = n[at].astype(np.int64), (n[at] - pos[at]).astype(np.int64)
+                x, y = size[:, :, None], size[:, None, :]
+                may = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (
+                    (100 + percent) * np.minimum(left[:, :, None], left[:, None, :]) >= percent * (x + y))
+                may[:, np.arange(k), np.arange(k)] = False
+                keep[at] = may.any(2)
+        return keep
+
+    def table_of(rows, keep):
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], ["token", "node", "n", "pos"])
+
+    def run(batches):
+        held, open_run = None, False  # open_run: the held row is of a long run and already sent
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate([a, b]).astype(b.dtype) for a, b in zip(held, rows)]
+            token, node = rows[:2]
+            if not len(token):
+                continue
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            rows = [x[fresh] for x in rows]
+            token = rows[0]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lengths = np.diff(np.append(starts, len(token)))
+            keep = useful(starts, lengths, rows[2], rows[3])
+            if open_run:
+                keep[:lengths[0]] = True  # the rest of a long run
+                keep[0] = False
+            last = int(starts[-1])
+            if lengths[-1] > LONG_RUN or (open_run and last == 0):
+                yield table_of(rows, keep)
+                held, open_run = [x[-1:] for x in rows], True
+            else:
+                keep[last:] = False
+                yield table_of(rows, keep)
+                held, open_run = [x[last:] for x in rows], False
+        if held is not None and not open_run:
+            n = len(held[0])
+            yield table_of(held, useful(np.zeros(1, np.int64), np.array([n]), held[2], held[3]))
+    return run
 
 
 def _mark_seen(batches):
@@ -209,29 +247,52 @@ def _seen_bits(nodes: DataFrame) -> bytes:
     return bytes(out)
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of each sorted hash."""
+    return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _marked(marks: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    slot = nodes.view(np.uint64) >> np.uint64(64 - SEEN_BITS)
+    return (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def _only_marked(bits):
+    def run(batches):
+        for batch in batches:
+            keep = _marked(np.frombuffer(bits.value, np.uint8), batch.column(0).to_numpy())
+            yield batch.filter(pa.array(keep))
+    return run
+
+
 def _wanted_sets(n, bits):
     def run(batches):
         marks, done = np.frombuffer(bits.value, np.uint8), set()
         for _, sets in _each_set(batches, n):
             nodes, grams = [], []
-            for s in sets:
-                node = node_of(s)
-                slot = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - SEEN_BITS)
-                if len(s) and node not in done and marks[slot >> 3] >> (7 - (slot & 7)) & 1:
+            named = np.array([node_of(s) for s in sets], np.int64)
+            for s, node, wanted in zip(sets, named.tolist(), _marked(marks, named)):
+                if len(s) and wanted and node not in done:
                     done.add(node)
                     nodes.append(node)
-                    grams.append(s.tobytes())
+                    grams.append(packed(s))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], ["node", "grams"])
     return run
 
 
 def common(a: np.ndarray, b: np.ndarray, least: int) -> int:
-    """Size of the intersection of two sorted sets, or -1 if the suffix filter shows it is under `least`.
+    """Size of the intersection of two sorted sets of 48-bit hashes, or -1 if the suffix filter shows it is under `least`.
 
     Suffix filter: both sets are cut at the same 16 hash values; parts can share no more than the smaller has.
     """
-    cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
+    cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(44)
     x = np.diff(np.concatenate([[0], np.searchsorted(a, cuts), [len(a)]]))
     y = np.diff(np.concatenate([[0], np.searchsorted(b, cuts), [len(b)]]))
     if np.minimum(x, y).sum() < least:
@@ -246,7 +307,7 @@ def _verify(percent):
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                a, b = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 least = -(-percent * (len(a) + len(b)) // (100 + percent))
                 both = common(a, b, least)
                 linked.append(both >= 0 and 100 * both >= percent * (len(a) + len(b) - both))
@@ -271,30 +332,27 @@ def jaccard_components(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT,
     profile = stage(rows.mapInArrow(_profile(n), PROFILE), "profile")
     classes = sc.broadcast(rarity(profile))
     prefixes = texts.mapInArrow(_prefixes(n, percent, classes), "token long, node long, n int, pos int")
-    live = stage(prefixes.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_with_pivots, LIVE), "live")
+    live = stage(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_live(percent), LIVE), "live")
     bits = sc.broadcast(_seen_bits(live.select("node").distinct()))
     sets = stage(texts.mapInArrow(_wanted_sets(n, bits), "node long, grams binary").dropDuplicates(["node"]), "sets")
 
     def verify(pairs):
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        own = sets.mapInArrow(_only_marked(sc.broadcast(_seen_bits(nodes))), "node long, grams binary")
+        full = pairs.join(own.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
+            own.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
         return stage(full.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
 
-    stars = live.where("node <> pivot").where(_may_link(percent, "n", "pivot_n", "pos", "pivot_pos"))
-    stars = stars.groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("s"))
-    verified = verify(stars.select(F.col("node").alias("a"), F.col("s.pivot").alias("b")))
-    places = live.select("token", "node", "n", "pos")
-    for last in (False, False, True):
-        comps = connected_components(verified.where("linked").select("a", "b"))
-        placed = places.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if last:
-            pairs = _across(placed, percent)
-        else:
-            pairs = _between_components(placed, percent)
-        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
-            verified.select("a", "b"), ["a", "b"], "left_anti")
-        verified = verified.unionByName(verify(new))
+    # a node with many shared n-grams among its rarest is most likely the original of a group of copies
+    degrees = live.groupBy("node").agg(F.count("*").alias("degree"))
+    places = live.join(degrees, "node").withColumn("comp", F.col("node"))
+    verified = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+    for turn in range(STAR_ROUNDS + 1):
+        if turn:
+            comps = connected_components(verified.where("linked").select("a", "b"))
+            places = _in_several(places, comps)
+        pairs = _stars(places, verified, percent) if turn < STAR_ROUNDS else _unverified(_across(places, percent), verified).distinct()
+        verified = verified.unionByName(verify(stage(pairs, "pairs")))
     comps = connected_components(verified.where("linked").select("a", "b"))
 
     found = profile.where("kind = 'doc'").select("doc_id", "n_shingles", "node", "text_key").join(comps, "node", "left")
@@ -305,21 +363,36 @@ def jaccard_components(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT,
         "node", "text_key")
 
 
-def _between_components(placed: DataFrame, percent: int) -> DataFrame:
-    """One member of each component of an n-gram against one of its first component."""
-    members = placed.groupBy("token", "comp").agg(F.min(F.struct("n", "node", "pos")).alias("r"))
-    firsts = members.groupBy("token").agg(F.min(F.struct("comp", "r")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    both = members.join(firsts, "token").where("comp <> p.comp").select(
-        F.col("r.node").alias("a"), F.col("p.r.node").alias("b"), F.col("r.n").alias("n"), F.col("p.r.n").alias("m"),
+def _unverified(pairs: DataFrame, verified: DataFrame) -> DataFrame:
+    pairs = pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    return pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _in_several(places: DataFrame, comps: DataFrame) -> DataFrame:
+    """The places of n-grams found in several components, with the component; the others are settled for good."""
+    placed = stage(places.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return stage(placed.join(several, "token"), "mixed")
+
+
+def _stars(places: DataFrame, verified: DataFrame, percent: int) -> DataFrame:
+    """One member of each component against the most shared member of another, that with which it has most n-grams."""
+    members = places.groupBy("token", "comp").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("r"))
+    pivots = members.groupBy("token").agg(F.max(F.struct("r", "comp")).alias("p"))
+    both = members.join(pivots, "token").where("comp <> p.comp").select(
+        F.col("r.node").alias("own"), F.col("p.r.node").alias("pivot"), F.col("r.n").alias("n"), F.col("p.r.n").alias("m"),
         F.col("r.pos").alias("i"), F.col("p.r.pos").alias("j"))
-    return both.where(_may_link(percent, "n", "m", "i", "j")).select("a", "b")
+    met = both.where(_may_link(percent, "n", "m", "i", "j")).groupBy("own", "pivot").agg(F.count("*").alias("times"))
+    new = _unverified(met.withColumns({"a": F.col("own"), "b": F.col("pivot")}), verified)
+    best = new.groupBy("own").agg(F.max(F.struct("times", "pivot")).alias("s")).select("own", F.col("s.pivot").alias("pivot"))
+    return best.select(F.least("own", "pivot").alias("a"), F.greatest("own", "pivot").alias("b")).distinct()
 
 
 def _across(placed: DataFrame, percent: int) -> DataFrame:
     """All pairs of an n-gram that lie in different components, never those inside its largest component."""
     largest = placed.groupBy("token", "comp").count().groupBy("token").agg(
-        F.max(F.struct("count", "comp")).alias("c"), F.count("*").alias("k")).where("k > 1").select("token", F.col("c.comp").alias("big"))
-    mixed = stage(placed.join(largest, "token"), "mixed")
+        F.max(F.struct("count", "comp")).alias("c")).select("token", F.col("c.comp").alias("big"))
+    mixed = placed.join(largest, "token")
     few = mixed.where("comp <> big").select("token", F.col("node").alias("a"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
     rest = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("comp").alias("cb"), "big")
     both = few.join(rest, "token").where("ca <> cb and (cb = big or a < b)")
