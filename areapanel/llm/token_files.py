@@ -16,6 +16,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CHUNK_BITS = 8
 FILE_TOKENS = 4_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 BLOCK_BITS = 512
 
 
@@ -103,19 +104,44 @@ def write_file(folder: str, doc_ids: list, lengths: list[int], ids: np.ndarray)
     return write_new(folder, "dac", [MAGIC, np.array([len(codes.levels)], np.int64).tobytes(), *to_bytes(arrays)])
 
 
+#: Fixed value: how the vocabulary cuts lower-case text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
 class WordIds(dict):
-    """Ids of a stretch of text between white space, as bytes; kept for words seen before."""
+    """Ids of a stretch of text between white space, as bytes; kept for words seen before.
+
+    Words of characters below U+0180 are lower-cased and cut into pieces here, as the vocabulary does, and only the pieces
+    go to the library's model; other words, and those that may hold a special string, go to the library whole.
+    """
 
     def __init__(self, vocabulary: str):
         super().__init__()
         self.encoder = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        self.model = self.encoder.model
+        self.cut = regex.compile(PIECES)
+        # bytes that are no visible ASCII or Latin-1 mark stand in the vocabulary as letters from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.stand_ins = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.stand_ins)
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        out = self[word] = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if "<|" in word or not (word.isascii() or max(word) < "\u0180"):
+            out = self.encode(word)
+        else:
+            out = b"".join(map(self.piece, self.cut.findall(word.lower())))
+        self[word] = out
         return out
 
     def text(self, text: str) -> bytes:
@@ -123,11 +149,21 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """One per worker process, shared by its tasks."""
+    if vocabulary not in _kept:
+        _kept[vocabulary] = WordIds(vocabulary)
+    return _kept[vocabulary]
+
+
 def _write(folder: str, vocabulary: str, end_id: int, file_tokens: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words, part, number = WordIds(vocabulary), TaskContext.get().partitionId(), 0
+        words, part, number = word_ids(vocabulary), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, total = [], [], [], 0
 
         def flush():
