@@ -28,7 +28,7 @@ from areapanel.llm.tables import query, scratch_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 CACHED_PAIRS = 300_000
 
 #: White space, and how this vocabulary cuts text into pieces.
@@ -49,41 +49,57 @@ class Vocabulary:
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         raw = lambda token: bytes(byte_of[c] for c in token)
         self.special = [t["content"] for t in model["added_tokens"]]
-        self.tokens = {raw(t) for t in model["model"]["vocab"] if t not in self.special}
+        self.ids = {raw(t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.tokens))
+        # a token's rank: single bytes first, then the order of the merges; halves: what each was merged from
+        self.rank = {token: 0 for token in self.ids if len(token) == 1}
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
+        self.joined: dict[tuple[bytes, bytes], int] = {}
+        for i, (a, b) in enumerate(pairs, 1):
+            a, b = raw(a), raw(b)
+            self.rank[a + b], self.halves[a + b], self.joined[a, b] = i, (a, b), i
+        self.longest = max(map(len, self.rank))
         self._fits: dict = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
     def fits(self, before: bytes | None, token: bytes) -> bool:
-        """Whether `token` can follow `before`; None: begin a piece."""
+        """Whether `token` can follow `before` (None: it begins the piece): undoing merges on both sides of the border from
+        the latest back, no pair across it may have been due earlier than what is undone."""
+        if before is None:
+            return True
         key = (before, token)
         held = self._fits.get(key)
         if held is None:
             if len(self._fits) >= CACHED_PAIRS:
                 self._fits.clear()
-            held = self._fits[key] = self.merge((before or b"") + token) == ([token] if before is None else [before, token])
+            held = self._fits[key] = self._compatible(before, token)
         return held
 
+    def _compatible(self, left: bytes, right: bytes) -> bool:
+        # what is undone last on the left must stay undone only before `limit`; a merge on the right wins ties
+        limit = (1 << 30, 0)
+        while True:
+            due = self.joined.get((left, right))
+            if due is not None and (due, 0) < limit:
+                return False
+            a, b = self.rank[left], self.rank[right]
+            if a == 0 and b == 0:
+                return True
+            if a > b:
+                limit, left = (a, 0), self.halves[left][1]
+            else:
+                limit, right = (b, 1), self.halves[right][0]
+
     def piece_counts(self, data: bytes) -> list[int]:
         """Token count of data[:i] for every i."""
         ends: list = [None]
         counts = [0]
+        rank, longest = self.rank, self.longest
         for i in range(1, len(data) + 1):
-            for n in range(min(i, self.longest), 0, -1):
-                token = data[i - n:i]
-                if token in self.tokens and self.fits(ends[i - n], token):
+            for at in range(max(0, i - longest), i):
+                token = data[at:i]
+                if token in rank and (at == 0 or self.fits(ends[at], token)):
                     ends.append(token)
-                    counts.append(counts[i - n] + 1)
+                    counts.append(counts[at] + 1)
                     break
         return counts
 
@@ -148,9 +164,19 @@ class PrefixCounter:
         return np.concatenate(out)
 
 
+_kept: dict[str, PrefixCounter] = {}
+
+
+def prefix_counter(name: str) -> PrefixCounter:
+    """One per worker process, shared by its tasks."""
+    if name not in _kept:
+        _kept[name] = PrefixCounter(name)
+    return _kept[name]
+
+
 def _store(name: str):
     def run(batches):
-        counter = PrefixCounter(name)
+        counter = prefix_counter(name)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, len(ids), 256):
