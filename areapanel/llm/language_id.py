@@ -29,7 +29,7 @@ SPAN_WORDS = 30
 LEXICON_WORDS = 50_000
 FEATURE_BITS = 16
 GRAMS = (1, 2, 3, 4)
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 EPOCHS = 12
 MIN_SCORE = 0.3
 UNKNOWN = "und"
@@ -200,10 +200,10 @@ def _lexicon_counts(languages: list[str]):
                 language = np.array([code[x] for x in batch.column(0).slice(lo, hi - lo).to_pylist()], np.uint64)[row[once]]
                 held.append(merged([(np.stack([h[once], language], 1), np.ones(once.sum(), np.int64))]))
                 n += len(held[-1][1])
-                if n > 2_000_000:
+                if n > 1_000_000:
                     held = [merged(held)]
                     n = len(held[0][1])
-                    if n > 1_000_000:
+                    if n > 500_000:
                         yield rows(held[0])
                         held, n = [], 0
         if held:
