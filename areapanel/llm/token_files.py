@@ -75,6 +75,24 @@ class Codes:
         return out
 
 
+    def ones_before(self, depth: int, place: int) -> int:
+        _, bitmap, rank = self.levels[depth]
+        block, word = place // BLOCK_BITS, place >> 6
+        ones = int(rank[block]) + int(np.bitwise_count(bitmap[block * (BLOCK_BITS // 64):word]).sum())
+        return ones + int(np.bitwise_count(bitmap[word] & ((np.uint64(1) << np.uint64(place & 63)) - np.uint64(1))))
+
+    def span(self, lo: int, hi: int, depth: int = 0) -> np.ndarray:
+        """Ids of a stretch of places: what goes on is a stretch in the next level too."""
+        chunks, bitmap, _ = self.levels[depth]
+        out = chunks[lo:hi].astype(np.uint32)
+        bits = np.unpackbits(bitmap[lo >> 6:(hi + 63) >> 6].view(np.uint8), bitorder="little")[lo & 63:(lo & 63) + hi - lo]
+        on = np.flatnonzero(bits)
+        if len(on):
+            first = self.ones_before(depth, lo)
+            out[on] |= self.span(first, first + len(on), depth + 1) << np.uint32(CHUNK_BITS * (depth + 1) - CHUNK_BITS * depth)
+        return out
+
+
 class TokenFile:
     """One written file: `codes`, the documents' ids (None where null) and first tokens."""
 
@@ -89,7 +107,7 @@ class TokenFile:
         self.codes = Codes(n, [tuple(arrays[4 + 3 * k:7 + 3 * k]) for k in range(levels)])
 
     def tokens(self, document: int) -> np.ndarray:
-        return self.codes.get(np.arange(self.starts[document], self.starts[document + 1]))
+        return self.codes.span(int(self.starts[document]), int(self.starts[document + 1]))
 
 
 MAGIC = b"DACODES1"
@@ -201,12 +219,7 @@ def _read(batches):
     for batch in batches:
         for address, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             file = TokenFile(address)
-            crcs = []
-            for lo, hi in zip(file.starts[:-1].tolist(), file.starts[1:].tolist()):
-                crc = 0
-                for at in range(lo, hi, 1 << 20):
-                    crc = zlib.crc32(file.codes.get(np.arange(at, min(hi, at + (1 << 20)))).astype("<u4").tobytes(), crc)
-                crcs.append(crc)
+            crcs = [zlib.crc32(file.tokens(i).astype("<u4").tobytes()) for i in range(len(file.doc_ids))]
             yield pa.RecordBatch.from_arrays([
                 pa.array(file.doc_ids, mask=file.nulls.astype(bool)), pa.array(file.starts[:-1] + start),
                 pa.array(np.diff(file.starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
