@@ -29,7 +29,7 @@ from areapanel.llm.words import SPACES, Words, blocks, mix, split_words
 N_GRAM = 5
 PERCENT = 80
 BLOCK_BYTES = 4 << 20
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 COUNT_BITS, COUNT_CHUNK_BITS = 24, 14
 SEEN_BITS, SEEN_CHUNK_BITS = 27, 20
 TOKEN_BITS = 48
@@ -324,7 +324,7 @@ def _may_link(percent, n, m, i, j):
 
 def jaccard_components(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT, id_column: str = "doc_id",
                        text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, and node (equal sets), text_key (equal texts) of every row."""
+    """doc_id, n_shingles, component_id, and node (equal sets), text_key (equal texts), comp (component) of every row."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_key"),
                        F.col(text_column).cast("binary").alias("text"))
@@ -360,7 +360,7 @@ def jaccard_components(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT,
     least = found.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return found.join(least, "comp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        "node", "text_key")
+        "node", "text_key", "comp")
 
 
 def _unverified(pairs: DataFrame, verified: DataFrame) -> DataFrame:
@@ -402,7 +402,8 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, that of its smallest doc_id; columns unchanged."""
     found = jaccard_components(docs, **options)
-    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.*")
+    chosen = found.where("n_shingles > 0").groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
     chosen = chosen.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
