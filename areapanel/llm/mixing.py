@@ -65,7 +65,7 @@ def rates(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEE
     for _ in range(sweeps):
         for dim in dims:
             margin = fitted.groupBy(dim).agg(F.sum("weight").alias("_sum"))
-            margin = margin.join(targets[dim].withColumnRenamed("value", dim), dim).select(dim, (F.col("share") / F.col("_sum")).alias("_f"))
+            margin = margin.join(targets[dim].withColumnRenamed("value", dim), dim).select(dim, F.try_divide("share", "_sum").alias("_f"))
             fitted = fitted.join(margin, dim, "left").withColumn("weight", F.coalesce(F.col("weight") * F.col("_f"), F.lit(0.0))).drop("_f")
         fitted = stage(fitted, "sweep")
     off = 0.0
@@ -74,7 +74,7 @@ def rates(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEE
         off = max(off, margin.agg(F.max(F.abs(F.col("_sum") - F.col("share"))).alias("d")).first().d or 0.0)
     if off > 0.01:
         raise RuntimeError(f"shares are {off:.3f} off the targets after {sweeps} sweeps")
-    ratio = F.col("weight") / F.col("tokens")
+    ratio = F.try_divide(F.col("weight"), F.col("tokens"))
     largest = fitted.where("tokens > 0").agg(F.max(ratio).alias("r")).first().r or 1.0
     return fitted.select(*dims, F.when(F.col("tokens") > 0, ratio / F.lit(largest)).otherwise(F.lit(1.0)).alias("rate"))
 
