@@ -31,7 +31,7 @@ PERCENT = 80
 BLOCK_BYTES = 4 << 20
 STAR_ROUNDS = 2
 COUNT_BITS, COUNT_CHUNK_BITS = 24, 14
-SEEN_BITS, SEEN_CHUNK_BITS = 27, 20
+SEEN_BITS, SEEN_CHUNK_BITS = 25, 18
 TOKEN_BITS = 48
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,7 +236,7 @@ def _mark_seen(batches):
 
 
 def _seen_bits(nodes: DataFrame) -> bytes:
-    """A filter of fixed size (16 MB) that lets through all these nodes and few others."""
+    """A filter of fixed size (4 MB) that lets through all these nodes and few others."""
     slot = F.shiftrightunsigned("node", 64 - SEEN_BITS)
     rows = (nodes.select(F.shiftright(slot, SEEN_CHUNK_BITS).cast("int").alias("chunk"),
                          slot.bitwiseAND((1 << SEEN_CHUNK_BITS) - 1).cast("int").alias("slot"))
@@ -335,13 +335,18 @@ def jaccard_components(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT,
     live = stage(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_live(percent), LIVE), "live")
     bits = sc.broadcast(_seen_bits(live.select("node").distinct()))
     sets = stage(texts.mapInArrow(_wanted_sets(n, bits), "node long, grams binary").dropDuplicates(["node"]), "sets")
+    classes.destroy()  # the tables are kept, nothing reads these again
+    bits.destroy()
 
     def verify(pairs):
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        own = sets.mapInArrow(_only_marked(sc.broadcast(_seen_bits(nodes))), "node long, grams binary")
+        wanted = sc.broadcast(_seen_bits(nodes))
+        own = sets.mapInArrow(_only_marked(wanted), "node long, grams binary")
         full = pairs.join(own.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
             own.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
-        return stage(full.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
+        out = stage(full.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
+        wanted.destroy()
+        return out
 
     # a node with many shared n-grams among its rarest is most likely the original of a group of copies
     degrees = live.groupBy("node").agg(F.count("*").alias("degree"))

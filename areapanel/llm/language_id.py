@@ -251,10 +251,10 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, lexicon_words: in
     seen = rows.select("lang", "text").mapInArrow(_lexicon_counts(languages), "word long, language int, texts long")
     by_word = seen.groupBy("word", "language").agg(F.sum("texts").alias("texts")).groupBy("word").agg(
         F.sum("texts").alias("total"), F.max(F.struct("texts", "language")).alias("main"))
-    common = by_word.orderBy(F.desc("total"), "word").limit(lexicon_words).select("word", "total", "main.*").collect()
-    words = np.array([r.word for r in common], np.int64).view(np.uint64)
-    purity = np.array([r.texts / r.total for r in common])
-    classes = np.array([r.language for r in common], np.int64) * 4 + np.digitize(purity, [0.7, 0.9, 0.99])
+    common = by_word.orderBy(F.desc("total"), "word").limit(lexicon_words).select("word", "total", "main.*").toArrow()
+    words = common["word"].to_numpy().astype(np.int64).view(np.uint64)
+    purity = common["texts"].to_numpy() / common["total"].to_numpy()
+    classes = common["language"].to_numpy().astype(np.int64) * 4 + np.digitize(purity, [0.7, 0.9, 0.99])
     order = np.argsort(words)
     return fit(spans, languages, words[order], classes[order], 4 * len(languages))
 

@@ -255,7 +255,7 @@ def test_language_of_words_and_texts(spark):
 
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, "word " * int(rng.integers(5, 15)) + ("@" if i % 5 == 0 else ""), ["en", "de"][i % 3 == 0], ["big", "small"][i % 10 == 0])
+    rows = [(i, "word " * int(rng.integers(5, 15)) + ("@" if i % 7 == 0 else ""), ["en", "de"][i % 3 == 0], ["big", "small"][i % 10 == 0])
             for i in range(6000)] + [(9999, None, None, None)]
     df = frame(spark, rows, "doc_id long, text string, lang string, source string")
     wanted = {"source": frame(spark, [("big", 0.5), ("small", 0.5), ("(none)", 0.0)], "value string, share double")}
