@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
@@ -194,8 +195,10 @@ def pre_process(df: DataFrame, cap: str | None = None, columns: Sequence[str] |
 
 
 def _add_months(day: date, months: int) -> date:
+    """The same day of a later month, or that month's last day."""
     total = day.year * 12 + day.month - 1 + months
-    return date(total // 12, total % 12 + 1, day.day)
+    year, month = total // 12, total % 12 + 1
+    return date(year, month, min(day.day, monthrange(year, month)[1]))
 
 
 def split_table(start: str, end: str, train_months: int, test_months: int, gap_days: int = 0,

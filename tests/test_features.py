@@ -102,3 +102,13 @@ def test_column_pickers(values):
 def test_pre_process_caps(values):
     out = FE.pre_process(values([(0.5,), (None,), (7.0,)], "v double"), cap="v")
     assert sorted(r.v for r in out.collect()) == [0.5, 1.0, 1.0]
+
+
+def test_month_ends_are_clamped():
+    from datetime import date
+
+    from areapanel.operators.features import _add_months
+    assert _add_months(date(2010, 1, 31), 1) == date(2010, 2, 28)
+    assert _add_months(date(2012, 1, 31), 13) == date(2013, 2, 28)
+    assert _add_months(date(2010, 11, 30), 3) == date(2011, 2, 28)
+    assert _add_months(date(2010, 3, 15), 12) == date(2011, 3, 15)
