@@ -64,7 +64,7 @@ def knn_score(spark, folder):
 @query("grid_metrics")
 def grid_metrics(spark, folder):
     panel = stage(labelled_panel(spark, folder), "labelled").withColumn("day", F.make_date("year", F.lit(1), F.lit(1)))
-    splits = FE.temporal_splits(panel, "day", "1995-01-01", "2000-01-01", train_months=48)
+    splits = FE.temporal_splits(panel, "day", "1995-01-01", "2000-01-01")
     featured = scoring.split_features(splits, TO_BIN, impute=TO_BIN)
     _, grid = ML.model_grid("test")
     scores = scoring.grid_scores(featured, list(grid), grid, GROUPS, KEYS)

@@ -88,12 +88,15 @@ def cut_edge(low: Column, high: Column, i: int, bins: int) -> Column:
 def bin_code(value: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based equal-width bin, right-closed, lowest value included.
 
-    A constant column is widened by 0.1 % (0.001 around zero) on both sides first.
+    A constant column is widened by 0.1 % (0.001 around zero) on both sides first. An infinite edge raises: no
+    width is equal then; cap or blank such values first.
     """
     flat = low == high
     margin = F.when(low == 0, F.lit(0.001)).otherwise(F.abs(low) * 0.001)
     lo, hi = F.when(flat, low - margin).otherwise(low), F.when(flat, high + margin).otherwise(high)
-    chain = F.when(value.isNull(), F.lit(None).cast("int"))
+    endless = F.abs(low).isin(float("inf")) | F.abs(high).isin(float("inf"))
+    chain = F.when(value.isNull(), F.lit(None).cast("int")) \
+        .when(endless, F.raise_error(F.lit("cannot cut a column with infinite values into equal widths")).cast("int"))
     for i in range(1, bins):
         chain = chain.when(value <= cut_edge(lo, hi, i, bins), F.lit(i - 1))
     return chain.otherwise(F.lit(bins - 1))

@@ -1,4 +1,11 @@
-"""MLlib classifiers under the panel's model names, grids and importances."""
+"""MLlib models under the panel's model names, grids and importances.
+
+Trees and forests are regression trees on the 0/1 label. Variance of such a label is half its gini impurity, so the
+splits are the gini splits, and every leaf keeps its share of positives. MLlib's tree classifiers merge leaves with the
+same majority class, which leaves one node when positives are rare. The entropy criterion has no regression tree: there
+the classes are weighted to balance, and the weights are taken out of the leaf shares again; sister leaves on the same
+side of the overall share are still merged.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +23,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,11 +103,22 @@ def model_grid(size: str) -> tuple[dict, dict]:
     return DEFAULTS, GRIDS[size]
 
 
+def effective(params: Mapping) -> dict:
+    """The parameters as they are fitted: trees are no deeper than MLlib allows."""
+    out = dict(params)
+    if out.get("max_depth"):
+        out["max_depth"] = min(out["max_depth"], MAX_TREE_DEPTH)
+    return out
+
+
 def grid_points(grid: Mapping[str, Sequence]) -> Iterator[dict]:
-    """Every combination of the listed parameter values."""
-    names = sorted(grid)
+    """Every combination of the listed values, as fitted; those that come out equal count once."""
+    names, seen = sorted(grid), set()
     for values in product(*[grid[n] for n in names]):
-        yield dict(zip(names, values))
+        point = effective(dict(zip(names, values)))
+        if params_text(point) not in seen:
+            seen.add(params_text(point))
+            yield point
 
 
 def _depth(params: Mapping, default: int | None = None) -> int:
@@ -111,6 +130,10 @@ def _leaf_size(params: Mapping) -> int:
     return max(1, int(params.get("min_samples_split", 2)) // 2)
 
 
+def by_entropy(name: str, params: Mapping) -> bool:
+    return name in ("RF", "B", "DT") and params.get("criterion") == "entropy"
+
+
 def estimator(name: str, params: Mapping, n_train: int, label: str = "label", seed: int = SEED):
     """MLlib estimator for a model name and its parameters over `n_train` rows."""
     p = {**DEFAULTS[name], **params}
@@ -125,14 +148,18 @@ def estimator(name: str, params: Mapping, n_train: int, label: str = "label", se
     if name == "GB":
         return GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], subsamplingRate=p["subsample"],
                              maxDepth=_depth(p), seed=seed, **io)
+    tree = {"maxDepth": _depth(p), "minInstancesPerNode": _leaf_size(p), "seed": seed, **io}
+    if by_entropy(name, p):
+        if p.get("max_features"):
+            return RandomForestClassifier(numTrees=1, bootstrap=False, impurity="entropy", weightCol="weight",
+                                          featureSubsetStrategy=p["max_features"], **tree)
+        return DecisionTreeClassifier(impurity="entropy", weightCol="weight", **tree)
     if name == "DT" and not p.get("max_features"):
-        return DecisionTreeClassifier(impurity=p.get("criterion", "gini"), maxDepth=_depth(p),
-                                      minInstancesPerNode=_leaf_size(p), seed=seed, **io)
+        return DecisionTreeRegressor(**tree)
     if name in ("RF", "B", "DT"):
         strategy = "all" if name == "B" else p.get("max_features") or "sqrt"
-        return RandomForestClassifier(numTrees=1 if name == "DT" else p["n_estimators"], maxDepth=_depth(p),
-                                      impurity=p.get("criterion", "gini"), featureSubsetStrategy=strategy,
-                                      bootstrap=name != "DT", minInstancesPerNode=_leaf_size(p), seed=seed, **io)
+        return RandomForestRegressor(numTrees=1 if name == "DT" else p["n_estimators"], featureSubsetStrategy=strategy,
+                                     bootstrap=name != "DT", **tree)
     raise KeyError(f"no estimator named {name!r}")
 
 
@@ -140,27 +167,47 @@ def assemble(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="error").transform(df)
 
 
-def scored(name: str, model, df: DataFrame) -> DataFrame:
-    """`score`: chance of the positive class, or the margin for the SVM."""
-    raw = "rawPrediction" if name == "SVM" else "probability"
-    # A training set of one class yields a one-element vector: nothing is positive.
-    score = F.coalesce(F.get(vector_to_array(F.col(raw)), F.lit(1)), F.lit(0.0))
-    return model.transform(df).withColumn("score", score).drop("rawPrediction", "probability", "prediction", "features")
+def scored(name: str, model, df: DataFrame, positives: float | None = None) -> DataFrame:
+    """`score`: chance of the positive class, or the margin for the SVM.
+
+    `positives` is the share of positives a model was balanced from; its scores are turned back to that share.
+    """
+    out = model.transform(df)
+    if "probability" not in out.columns and name != "SVM":
+        score = F.col("prediction")
+    else:
+        raw = "rawPrediction" if name == "SVM" else "probability"
+        # A training set of one class yields a one-element vector: nothing is positive.
+        score = F.coalesce(F.get(vector_to_array(F.col(raw)), F.lit(1)), F.lit(0.0))
+    if positives is not None:
+        yes, no = score * F.lit(positives), (F.lit(1.0) - score) * F.lit(1.0 - positives)
+        score = yes / (yes + no)
+    return out.withColumn("score", score).drop("rawPrediction", "probability", "prediction", "features")
 
 
-def fit_model(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
-    """Fit one classifier; the assembled rows are kept while it iterates over them."""
+def fit_balanced(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
+    """A fitted model, and the share of positives it was balanced from (None if its rows weigh the same)."""
     rows = assemble(train.select(*predictors, F.col(label).cast("double").alias(label)), predictors) \
         .select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = rows.count()
+        n, share = rows.agg(F.count("*"), F.avg(label)).first()
         # Few rows in many partitions only add task overhead to every iteration.
         packed = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION))))
-        return estimator(name, params, n, label).fit(packed)
+        balanced = by_entropy(name, params)
+        mixed = balanced and bool(share) and share < 1
+        if balanced:
+            weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)) if mixed else F.lit(1.0)
+            packed = packed.withColumn("weight", weight)
+        return estimator(name, params, n, label).fit(packed), share if mixed else None
     finally:
         rows.unpersist()
 
 
+def fit_model(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
+    """Fit one model; the assembled rows are kept while it iterates over them."""
+    return fit_balanced(train, name, params, predictors, label)[0]
+
+
 def run_model(train: DataFrame, test: DataFrame, name: str, params: Mapping, predictors: Sequence[str],
               keys: Sequence[str], label: str = "label") -> DataFrame:
     """Fit one model by name; returns the test rows with `score`."""
@@ -170,7 +217,8 @@ def run_model(train: DataFrame, test: DataFrame, name: str, params: Mapping, pre
         scores = knn_score(train.withColumn("features", vector), test.withColumn("features", vector), keys,
                            "features", label, k=p["n_neighbors"], weights=p.get("weights", "uniform"))
         return test.join(scores, list(keys))
-    return scored(name, fit_model(train, name, params, predictors, label), assemble(test, predictors))
+    model, positives = fit_balanced(train, name, params, predictors, label)
+    return scored(name, model, assemble(test, predictors), positives)
 
 
 def params_text(params: Mapping) -> str:

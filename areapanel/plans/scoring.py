@@ -45,9 +45,9 @@ def production_score(labelled: DataFrame, test_year: int, keys: Sequence[str] =
                      models: Mapping[str, Mapping] = PRODUCTION, top: float = 10.0,
                      to_bin: Sequence[str] | None = None, fit_on: str = "own", output: str | None = None) -> DataFrame:
     """Train on all other years, score `test_year`, flag the top share by each model."""
+    labelled = stage(labelled, "labelled")
     numeric = FE.numeric_columns(labelled, exclude=["label", "label_prev_year", *keys])
     to_bin = list(to_bin or FE.continuous_columns(labelled.select(*numeric)))
-    labelled = stage(labelled, "labelled")
     train, test = (labelled.where(c) for c in (F.col("year") != test_year, F.col("year") == test_year))
     train_x = FE.process_features(train, to_bin, labels=LEVELS, impute=numeric).persist(StorageLevel.MEMORY_AND_DISK)
     test_x = FE.process_features(test, to_bin, labels=LEVELS, impute=numeric,
@@ -56,8 +56,9 @@ def production_score(labelled: DataFrame, test_year: int, keys: Sequence[str] =
         predictors = FE.binary_columns(train_x, exclude=["label", *keys])
         out = None
         for name, params in models.items():
-            scores = ML.run_model(train_x, test_x, name, params, predictors, keys)
-            flagged = flag_top_k(scores.select(*keys, "score"), [], M.score_order("score", keys), top,
+            # Ranking reads the scores several times, the caller after the train set is let go.
+            scores = stage(ML.run_model(train_x, test_x, name, params, predictors, keys).select(*keys, "score"), "scores")
+            flagged = flag_top_k(scores, [], M.score_order("score", keys), top,
                                  name=f"prediction_{name.lower()}").drop("score")
             out = flagged if out is None else out.join(flagged, list(keys))
         if output:

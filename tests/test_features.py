@@ -112,3 +112,10 @@ def test_month_ends_are_clamped():
     assert _add_months(date(2012, 1, 31), 13) == date(2013, 2, 28)
     assert _add_months(date(2010, 11, 30), 3) == date(2011, 2, 28)
     assert _add_months(date(2010, 3, 15), 12) == date(2011, 3, 15)
+
+
+@pytest.mark.parametrize("edge", [float("inf"), float("-inf")])
+def test_infinite_values_have_no_equal_widths(values, edge):
+    df = values([(0.0,), (1.0,), (edge,)], "x double")
+    with pytest.raises(Exception, match="infinite"):
+        FE.discretize(df, ["x"]).collect()

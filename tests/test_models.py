@@ -38,7 +38,9 @@ def test_models_beat_chance(separable, name, params):
 def test_grids_and_unknown_size():
     defaults, grid = ML.model_grid("test")
     assert set(grid) == set(defaults) and all(len(list(ML.grid_points(g))) == 1 for g in grid.values())
-    assert len(list(ML.grid_points(ML.GRIDS["large"]["RF"]))) == 5 * 6 * 2 * 3
+    points = list(ML.grid_points(ML.GRIDS["large"]["RF"]))
+    # depths 50 and 100 are fitted as MLlib's deepest, once and under that name
+    assert len(points) == 5 * 5 * 2 * 3 and max(p["max_depth"] for p in points) == ML.MAX_TREE_DEPTH
     with pytest.raises(KeyError):
         ML.model_grid("huge")
 
@@ -102,3 +104,31 @@ def test_production_flags_the_top_share(values):
     out = scoring.production_score(df, 2017, models=light)
     sums = out.agg(F.count("*").alias("n"), F.sum("prediction_lr").alias("lr"), F.sum("prediction_rf").alias("rf")).first()
     assert (sums.n, sums.lr, sums.rf) == (60, 6, 6)
+
+
+@pytest.mark.parametrize("name,params", [
+    ("RF", {"n_estimators": 10, "max_depth": 4}), ("B", {"n_estimators": 5}), ("DT", {"max_depth": 4}),
+    ("DT", {"max_depth": 4, "criterion": "entropy"}), ("DT", {"max_depth": 4, "criterion": "entropy", "max_features": "sqrt"})])
+def test_trees_score_rare_labels(values, name, params):
+    """No cell of the predictors has a majority of positives, and the scores still tell the cells apart."""
+    rows = [(i, float(i // 400 % 2), float(i // 800 % 2), int(i % 400 < (10, 30, 50, 70)[i // 400 % 4])) for i in range(1600)]
+    df = values(rows, "id int, x1 double, x2 double, label int")
+    out = ML.run_model(df, df, name, params, ["x1", "x2"], ["id"])
+    shares = {r.c: r.s for r in out.groupBy(F.concat("x1", "x2").alias("c")).agg(F.round(F.avg("score"), 2).alias("s")).collect()}
+    assert len(set(shares.values())) > 1
+    if name == "DT" and "max_features" not in params:
+        # by entropy, leaves on the same side of the overall share are one
+        expected = [0.05, 0.05, 0.15, 0.15] if "criterion" in params else [0.03, 0.08, 0.13, 0.18]
+        assert sorted(shares.values()) == pytest.approx(expected, abs=0.01)
+    model = ML.fit_model(df, name, params, ["x1", "x2"])
+    assert ML.feature_importance(name, model, df, ["x1", "x2"]).count() > 0
+
+
+def test_neighbours_of_equal_real_vectors_take_all(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 64)) * 10
+    train = spark.createDataFrame([(v.tolist(), i % 2) for i, v in enumerate(x)], "f array<double>, y int")
+    test = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, f array<double>")
+    whole, parts = ({r.id: r.score for r in knn_score(train, test, ["id"], "f", "y", k=3, weights="distance", **o).collect()}
+                    for o in ({}, {"broadcast_bytes": 0, "block_bytes": 64 * 8 * 7}))
+    assert whole == parts == {i: float(i % 2) for i in range(50)}
