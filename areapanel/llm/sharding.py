@@ -35,7 +35,8 @@ def line_links(docs: DataFrame, line_bytes: int = LINE_BYTES) -> DataFrame:
     lines = docs.where("text is not null").select("node", F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.where(F.octet_length("line") >= line_bytes).select("node", F.xxhash64("line").alias("link"))
     pairs = stage(lines.groupBy("link", "node").agg(F.count("*").alias("times")), "lines")
-    shared = pairs.groupBy("link").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    # kept, so that both sides of the joins on a link are plain shuffles and a line of very many nodes can be split
+    shared = stage(pairs.groupBy("link").agg(F.count("*").alias("nodes")).where("nodes > 1"), "shared")
     return stage(pairs.join(shared, "link").select("link", "node", (F.lit(1.0) / (F.col("nodes") - 1)).alias("weight")), "links")
 
 
