@@ -87,5 +87,4 @@ def top_features(spark, folder):
 
 @query("production_score")
 def production_score(spark, folder):
-    light = {"LR": scoring.PRODUCTION["LR"], "RF": {**scoring.PRODUCTION["RF"], "n_estimators": 20}}
-    return scoring.production_score(labelled_panel(spark, folder).drop("label_prev_year"), TEST_YEAR, models=light, to_bin=TO_BIN)
+    return scoring.production_score(labelled_panel(spark, folder).drop("label_prev_year"), TEST_YEAR)

@@ -5,15 +5,20 @@ splits are the gini splits, and every leaf keeps its share of positives. MLlib's
 same majority class, which leaves one node when positives are rare. The entropy criterion has no regression tree: there
 the classes are weighted to balance, and the weights are taken out of the leaf shares again; sister leaves on the same
 side of the overall share are still merged.
+
+A forest of more than `BATCH_TREES` trees is fitted and scored by `run_model` in batches, so the driver holds the trees
+of a few batches at a time; its score is the mean over all trees.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -24,12 +29,17 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areapanel.operators.neighbours import knn_score
+from areapanel.session import scratch_path, stage
 
 SEED = 100
+# MLlib draws a partition's rows by seed + partition, so the seeds of batches lie further apart than partitions do.
+SEED_STEP = 1_000_003
+BATCH_TREES = 100
+BATCHES_AT_ONCE = 4
 MAX_TREE_DEPTH = 30  # MLlib accepts no deeper tree.
 ROWS_PER_PARTITION = 50_000
 TOLERANCE = 1e-4
@@ -167,6 +177,14 @@ def assemble(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="error").transform(df)
 
 
+def _unbalanced(score: Column, positives: float | None) -> Column:
+    """A score turned back to the share of positives its model was balanced from (None: the score itself)."""
+    if positives is None:
+        return score
+    yes, no = score * F.lit(positives), (F.lit(1.0) - score) * F.lit(1.0 - positives)
+    return yes / (yes + no)
+
+
 def scored(name: str, model, df: DataFrame, positives: float | None = None) -> DataFrame:
     """`score`: chance of the positive class, or the margin for the SVM.
 
@@ -179,14 +197,12 @@ def scored(name: str, model, df: DataFrame, positives: float | None = None) -> D
         raw = "rawPrediction" if name == "SVM" else "probability"
         # A training set of one class yields a one-element vector: nothing is positive.
         score = F.coalesce(F.get(vector_to_array(F.col(raw)), F.lit(1)), F.lit(0.0))
-    if positives is not None:
-        yes, no = score * F.lit(positives), (F.lit(1.0) - score) * F.lit(1.0 - positives)
-        score = yes / (yes + no)
-    return out.withColumn("score", score).drop("rawPrediction", "probability", "prediction", "features")
+    return out.withColumn("score", _unbalanced(score, positives)).drop("rawPrediction", "probability", "prediction", "features")
 
 
-def fit_balanced(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
-    """A fitted model, and the share of positives it was balanced from (None if its rows weigh the same)."""
+@contextmanager
+def _training_rows(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str):
+    """The kept rows to fit on, their number, and the share of positives they are balanced from (None if they weigh the same)."""
     rows = assemble(train.select(*predictors, F.col(label).cast("double").alias(label)), predictors) \
         .select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -198,11 +214,46 @@ def fit_balanced(train: DataFrame, name: str, params: Mapping, predictors: Seque
         if balanced:
             weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)) if mixed else F.lit(1.0)
             packed = packed.withColumn("weight", weight)
-        return estimator(name, params, n, label).fit(packed), share if mixed else None
+        yield packed, n, share if mixed else None
     finally:
         rows.unpersist()
 
 
+def fit_balanced(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
+    """A fitted model, and the share of positives it was balanced from (None if its rows weigh the same)."""
+    with _training_rows(train, name, params, predictors, label) as (rows, n, positives):
+        return estimator(name, params, n, label).fit(rows), positives
+
+
+def tree_batches(name: str, params: Mapping) -> list[tuple[int, int]]:
+    """(seed, number of trees) of the fits that make up a forest; one for any other model."""
+    trees = {**DEFAULTS[name], **params}.get("n_estimators", 1) if name in ("RF", "B") else 1
+    return [(SEED + k * SEED_STEP, min(BATCH_TREES, trees - at)) for k, at in enumerate(range(0, trees, BATCH_TREES))]
+
+
+def score_in_batches(train: DataFrame, test: DataFrame, name: str, params: Mapping, predictors: Sequence[str],
+                     label: str = "label") -> DataFrame:
+    """The test rows with the mean score of all trees; each batch of trees is let go once its scores are stored."""
+    spark, batches = train.sparkSession, tree_batches(name, params)
+    rows = stage(test.withColumn("_row", F.monotonically_increasing_id()), "to-score")
+    vectors = assemble(rows, predictors).select("_row", "features")
+    path = scratch_path(spark, "batch-scores")
+    with _training_rows(train, name, params, predictors, label) as (packed, n, positives):
+        @inheritable_thread_target(spark)
+        def fit_and_score(k: int) -> None:
+            seed, trees = batches[k]
+            model = estimator(name, {**params, "n_estimators": trees}, n, label, seed).fit(packed)
+            scored(name, model, vectors).select("_row", (F.col("score") * F.lit(trees)).alias("sum")).write.parquet(f"{path}/batch={k}")
+
+        with ThreadPool(BATCHES_AT_ONCE) as pool:
+            pool.map(fit_and_score, range(len(batches)), chunksize=1)
+    # Summed in the order of the batches: rows with equal predictors get equal scores, to the last bit.
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("batch", "sum"))), lambda b: b["sum"])
+    total = F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)
+    means = spark.read.parquet(path).groupBy("_row").agg((total / F.lit(sum(t for _, t in batches))).alias("score"))
+    return rows.join(means.withColumn("score", _unbalanced(F.col("score"), positives)), "_row").drop("_row")
+
+
 def fit_model(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
     """Fit one model; the assembled rows are kept while it iterates over them."""
     return fit_balanced(train, name, params, predictors, label)[0]
@@ -217,6 +268,8 @@ def run_model(train: DataFrame, test: DataFrame, name: str, params: Mapping, pre
         scores = knn_score(train.withColumn("features", vector), test.withColumn("features", vector), keys,
                            "features", label, k=p["n_neighbors"], weights=p.get("weights", "uniform"))
         return test.join(scores, list(keys))
+    if len(tree_batches(name, params)) > 1:
+        return score_in_batches(train, test, name, params, predictors, label)
     model, positives = fit_balanced(train, name, params, predictors, label)
     return scored(name, model, assemble(test, predictors), positives)
 

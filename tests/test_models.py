@@ -132,3 +132,38 @@ def test_neighbours_of_equal_real_vectors_take_all(spark):
     whole, parts = ({r.id: r.score for r in knn_score(train, test, ["id"], "f", "y", k=3, weights="distance", **o).collect()}
                     for o in ({}, {"broadcast_bytes": 0, "block_bytes": 64 * 8 * 7}))
     assert whole == parts == {i: float(i % 2) for i in range(50)}
+
+
+def test_large_forests_are_fitted_in_batches(separable, monkeypatch):
+    """No fit has more than a batch of trees, and the score is the mean over all of them."""
+    train, test = separable
+    fits, whole = [], ML.estimator
+
+    def kept(name, params, n, label="label", seed=ML.SEED):
+        fits.append((seed, params["n_estimators"]))
+        return whole(name, params, n, label, seed)
+    monkeypatch.setattr(ML, "estimator", kept)
+    params = {"n_estimators": 230, "max_depth": 4, "max_features": "log2"}
+    got = {r.id: r.score for r in ML.run_model(train, test, "RF", params, PREDICTORS, ["id"]).collect()}
+    assert sorted(n for _, n in fits) == [30, 100, 100] and len({s for s, _ in fits}) == 3
+    sums = dict.fromkeys(got, 0.0)
+    packed = ML.assemble(train.withColumn("label", F.col("label").cast("double")), PREDICTORS).coalesce(1)
+    for seed, trees in sorted(fits):
+        model = whole("RF", {**params, "n_estimators": trees}, train.count(), seed=seed).fit(packed)
+        for r in ML.scored("RF", model, ML.assemble(test, PREDICTORS)).collect():
+            sums[r.id] += r.score * trees
+    assert got == pytest.approx({i: v / 230 for i, v in sums.items()})
+    by_cell = {}
+    for r in ML.run_model(train, test, "RF", params, PREDICTORS[:1], ["id"]).collect():
+        by_cell.setdefault(r.x1, set()).add(r.score)
+    assert all(len(v) == 1 for v in by_cell.values())
+
+
+def test_production_query_fits_the_production_models(monkeypatch, values):
+    from areapanel.catalog import learning
+    calls = []
+    monkeypatch.setattr(learning, "labelled_panel", lambda spark, folder: values([("a", 2000, 1)], "tract string, year int, label_prev_year int"))
+    monkeypatch.setattr(learning.scoring, "production_score", lambda df, year, **other: calls.append((year, other)))
+    learning.production_score(None, "")
+    assert calls == [(learning.TEST_YEAR, {})]
+    assert scoring.PRODUCTION["RF"]["n_estimators"] == 10000
