@@ -10,7 +10,8 @@ window, are intersected from the rarest up. `proximity_matches` asks for all wor
 
 The test windows, not the documents, are sent to the tasks, in slices of at most `SLICE_WINDOWS`; every slice is one
 more pass over the index, so a test set of any size is looked up whole. Windows never cross documents. Null and empty
-texts have no words. Equal item ids count once.
+texts have no words. Equal item ids count once, and so do null ones: all items without an id are one item, null in `items`,
+which `n_items` of the query counts and its hash of the joined ids leaves out.
 """
 
 from __future__ import annotations
@@ -160,19 +161,21 @@ class Block:
         return live[row], at
 
 
-def _by_length(slices: list[tuple[str, bytes]]):
-    """Windows of each length as one array, with their items."""
+def _by_length(slices: list[tuple[str | None, bytes]]):
+    """The items, null first, and the windows of each length as one array, with the numbers of their items."""
+    names = sorted({i for i, _ in slices}, key=lambda i: (i is not None, i or ""))
+    number = {i: k for k, i in enumerate(names)}
     out: dict = {}
     for item, words in slices:
-        out.setdefault(len(words) // 8, []).append((item, words))
-    return [(np.array([i for i, _ in rows], object), np.frombuffer(b"".join(w for _, w in rows), np.uint64).reshape(len(rows), n))
-            for n, rows in sorted(out.items())]
+        out.setdefault(len(words) // 8, []).append((number[item], words))
+    return names, [(np.array([i for i, _ in rows], np.int64), np.frombuffer(b"".join(w for _, w in rows), np.uint64).reshape(len(rows), n))
+                   for n, rows in sorted(out.items())]
 
 
 MATCHES = "part int, block int, row int, doc_id long, text_key long, n_words long, runs array<struct<first:int,stop:int,item_id:string>>"
 
 
-def _match(groups, span):
+def _match(names, groups, span):
     runs_type = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("item_id", pa.string())]))
 
     def run(batches):
@@ -185,7 +188,7 @@ def _match(groups, span):
                     window, start = block.phrases(windows) if span is None else block.near(windows, span)
                     n = windows.shape[1] if span is None else 1
                     item = items[window]
-                    order = np.lexsort((start, item)) if len(item) else np.zeros(0, np.int64)
+                    order = np.lexsort((start, item))
                     item, start = item[order], start[order]
                     doc = block.doc_of(start)
                     fresh = np.ones(len(start), bool)
@@ -195,7 +198,7 @@ def _match(groups, span):
                     for a, b in zip(opens.tolist(), closes.tolist()):
                         d = int(doc[a])
                         base = int(block.starts[d])
-                        runs[d].append({"first": int(start[a]) - base, "stop": int(start[b]) - base + n, "item_id": item[a]})
+                        runs[d].append({"first": int(start[a]) - base, "stop": int(start[b]) - base + n, "item_id": names[item[a]]})
                 k = len(runs)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["part"]] * k, pa.int32()), pa.array([row["block"]] * k, pa.int32()), pa.array(range(k), pa.int32()),
@@ -211,8 +214,8 @@ def matches(index: DataFrame, windows: DataFrame, span: int | None = None, slice
     passes = []
     for k in range(slices):
         own = windows if slices == 1 else windows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(slices)) == k)
-        groups = _by_length([(r.item_id, bytes(r.words)) for r in own.collect()])
-        passes.append(index.mapInArrow(_match(groups, span), MATCHES))
+        names, groups = _by_length([(r.item_id, bytes(r.words)) for r in own.collect()])
+        passes.append(index.mapInArrow(_match(names, groups, span), MATCHES))
     if slices == 1:
         return passes[0]
     every = passes[0]

@@ -187,6 +187,19 @@ def test_contamination_equals_brute_force(spark, monkeypatch, slice_windows):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in got.collect()), key=repr) == brute_hits(docs, items)
 
 
+@pytest.mark.parametrize("slice_windows", [200_000, 1])
+def test_null_item_ids_are_one_item(spark, slice_windows):
+    """A document with hits of items without an id and of named ones, by windows of the same length."""
+    items = [(None, "red fox"), (None, "blue owl"), (7, "red fox"), (8, "old cat"), (None, None)]
+    docs = frame(spark, [(1, "a red fox an old cat a blue owl"), (2, "blue owl"), (3, "old cat"), (4, "red")])
+    index, windows = decontamination.build_index(docs), decontamination.test_windows(frame(spark, items, "item_id long, text string"))
+    for found in (decontamination.matches(index, windows, span, slice_windows) for span in (None, 1)):
+        got = {r.doc_id: collections.Counter(x.item_id for x in r.runs) for r in found.collect()}
+        assert got == {1: {None: 2, "7": 1, "8": 1}, 2: {None: 1}, 3: {"8": 1}, 4: {}}
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.contamination(docs, frame(spark, items, "item_id long, text string")).collect()}
+    assert got == {1: (6, ["7", "8", None]), 2: (2, [None]), 3: (2, ["8"]), 4: (0, [])}
+
+
 def test_proximity(spark):
     index = decontamination.build_index(frame(spark, [(1, "red x x fox"), (2, "fox x red"), (3, "red " + "x " * 30 + "fox"), (4, "red")]))
     windows = decontamination.test_windows(frame(spark, [(1, "red fox")], "item_id long, text string"))
