@@ -5,6 +5,7 @@ from __future__ import annotations
 from calendar import monthrange
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,11 +152,24 @@ def quantile_bins(df: DataFrame, old: str, new: str, bins: int, labels: Sequence
     return joined.withColumn(new, chain.otherwise(F.lit(labels[-1]))).drop(*names)
 
 
-def one_hot(df: DataFrame, levels: Mapping[str, Sequence]) -> DataFrame:
-    """0/1 column per listed level plus `<column>_nan`; the source columns go."""
+def one_hot(df: DataFrame, levels: Mapping[str, Sequence], unlisted: str = "raise") -> DataFrame:
+    """0/1 column per listed level plus `<column>_nan`; the source columns go.
+
+    A non-null value that is not listed raises; with unlisted='other' it is 1 in `<column>_other`, with 'zero' in no column.
+    """
+    if unlisted not in ("raise", "other", "zero"):
+        raise ValueError("unlisted is 'raise', 'other' or 'zero'")
     flags = []
     for c, values in levels.items():
-        flags += [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int").alias(f"{c}_{v}") for v in values]
+        if unlisted == "other" and "other" in values:
+            raise ValueError(f"{c} lists a value named other")
+        listed = reduce(lambda a, b: a | b, [F.col(c) == F.lit(v) for v in values], F.col(c).isNull())
+        stop = F.raise_error(F.concat(F.lit(f"{c} has a value that is not listed: "), F.col(c).cast("string"))).cast("int")
+        for v in values:
+            flag = F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int")
+            flags.append((F.when(listed, flag).otherwise(stop) if unlisted == "raise" else flag).alias(f"{c}_{v}"))
+        if unlisted == "other":
+            flags.append((~listed).cast("int").alias(f"{c}_other"))
         flags.append(F.col(c).isNull().cast("int").alias(f"{c}_nan"))
     return df.select(*[c for c in df.columns if c not in levels], *flags)
 

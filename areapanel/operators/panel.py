@@ -25,17 +25,21 @@ def pivot_name(column: str, value) -> str:
     return f"total_{column}_{value}"
 
 
-def pivot_counts(df: DataFrame, column: str, values: Sequence, keys: Sequence[str] = KEY) -> DataFrame:
-    """Rows per category value as columns; absent pairs are 0."""
-    return multi_pivot(df, {column: values}, keys, total=None)
+def pivot_counts(df: DataFrame, column: str, values: Sequence, keys: Sequence[str] = KEY, other: bool = False) -> DataFrame:
+    """Rows per category value as columns; absent pairs are 0. Unlisted values as in `multi_pivot`."""
+    return multi_pivot(df, {column: values}, keys, total=None, other=other)
 
 
 def multi_pivot(df: DataFrame, categories: Mapping[str, Sequence], keys: Sequence[str] = KEY,
-                total: str | None = "total", keep_all: bool = False) -> DataFrame:
+                total: str | None = "total", keep_all: bool = False, other: bool = False) -> DataFrame:
     """Total and one count column per listed category value, in one aggregation.
 
-    A key whose category is missing on every row drops out, unless `keep_all`.
+    A key whose category is missing on every row drops out, unless `keep_all`. The counts of a category add up to its
+    non-null rows: values that are not listed raise, or with `other` are counted in `total_<column>_other`.
     """
+    for c, values in categories.items():
+        if other and "other" in values:
+            raise ValueError(f"{c} lists a value named other")
     counts = [F.count_if(F.col(c) == F.lit(v)).alias(pivot_name(c, v))
               for c, values in categories.items() for v in values]
     present = {c: f"_has_{i}" for i, c in enumerate(categories)}
@@ -44,7 +48,16 @@ def multi_pivot(df: DataFrame, categories: Mapping[str, Sequence], keys: Sequenc
         *totals, *counts, *[F.count(c).alias(p) for c, p in present.items()])
     if not keep_all:
         out = out.where(reduce(lambda a, b: a & b, [F.col(p) > 0 for p in present.values()]))
-    return out.drop(*present.values())
+    columns = []
+    for c, values in categories.items():
+        names = [pivot_name(c, v) for v in values]
+        unlisted = reduce(lambda a, b: a - b, [F.col(f"`{n}`") for n in names], F.col(present[c]))
+        if other:
+            columns += [*[F.col(f"`{n}`") for n in names], unlisted.alias(pivot_name(c, "other"))]
+        else:
+            stop = F.raise_error(F.concat(F.lit(f"rows of {c} with a value that is not listed: "), unlisted.cast("string"))).cast("long")
+            columns += [F.when(unlisted == 0, F.col(f"`{n}`")).otherwise(stop).alias(n) for n in names]
+    return out.select(*keys, *([total] if total else []), *columns)
 
 
 def growth(df: DataFrame, columns: Sequence[str], key: str = "tract", year: str = "year",

@@ -49,6 +49,15 @@ def test_one_hot_has_absent_levels_and_missing_column(values):
     assert [tuple(r) for r in out.collect()] == [(1, 1, 0, 0), (2, 0, 0, 1)]
 
 
+def test_one_hot_of_unlisted_values(values):
+    df = values([("x", 1), (None, 2), ("z", 3)], "c string, i int")
+    out = FE.one_hot(df, {"c": ["x", "y"]}, unlisted="other").orderBy("i")
+    assert out.columns == ["i", "c_x", "c_y", "c_other", "c_nan"]
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 0, 0, 0), (2, 0, 0, 0, 1), (3, 0, 0, 1, 0)]
+    with pytest.raises(Exception, match="not listed: z"):
+        FE.one_hot(df, {"c": ["x", "y"]}).collect()
+
+
 def test_medians_fill_per_group_and_skip_text(values):
     df = values([("a", 1.0, None), ("a", 3.0, "x"), ("a", None, None), ("b", 10.0, None), ("b", None, "y")],
                 "g string, v double, t string")

@@ -24,6 +24,19 @@ def test_pivot_drops_keys_without_a_category(values):
     assert P.multi_pivot(df, {"kind": ["x"]}, keep_all=True).count() == 2
 
 
+def test_pivot_columns_add_up_to_the_non_null_total(values):
+    df = values([("a", 1, "x", 1), ("a", 1, "rare", 0), ("a", 1, None, 0), ("b", 1, "new", 1), ("b", 1, "new", None)],
+                "tract string, year int, kind string, flag int")
+    for got in (P.multi_pivot(df, {"kind": ["x", "y"], "flag": [0, 1]}, other=True), P.pivot_counts(df, "kind", ["x", "y"], other=True)):
+        assert rows(got, "tract", "total_kind_x", "total_kind_y", "total_kind_other") == [("a", 1, 0, 1), ("b", 0, 0, 2)]
+    assert P.pivot_counts(df, "kind", ["x"], other=True).columns == ["tract", "year", "total_kind_x", "total_kind_other"]
+    for got in (P.multi_pivot(df, {"kind": ["x", "y"], "flag": [0, 1]}), P.pivot_counts(df, "kind", ["x", "y"])):
+        with pytest.raises(Exception, match="rows of kind with a value that is not listed"):
+            got.collect()
+    with pytest.raises(ValueError, match="named other"):
+        P.pivot_counts(df, "kind", ["other"], other=True)
+
+
 def test_bases_blank_the_first_year_and_cap(values):
     df = values([("7", 2010, 4, 1, 3), ("7", 2011, 12, 6, 6), ("7", 2012, 6, 6, 0)],
                 "tract string, year int, total_crime int, a int, b int")
