@@ -160,16 +160,14 @@ def estimator(name: str, params: Mapping, n_train: int, label: str = "label", se
                              maxDepth=_depth(p), seed=seed, **io)
     tree = {"maxDepth": _depth(p), "minInstancesPerNode": _leaf_size(p), "seed": seed, **io}
     if by_entropy(name, p):
-        if p.get("max_features"):
-            return RandomForestClassifier(numTrees=1, bootstrap=False, impurity="entropy", weightCol="weight",
-                                          featureSubsetStrategy=p["max_features"], **tree)
-        return DecisionTreeClassifier(impurity="entropy", weightCol="weight", **tree)
+        tree |= {"impurity": "entropy", "weightCol": "weight"}
     if name == "DT" and not p.get("max_features"):
-        return DecisionTreeRegressor(**tree)
+        return (DecisionTreeClassifier if by_entropy(name, p) else DecisionTreeRegressor)(**tree)
     if name in ("RF", "B", "DT"):
         strategy = "all" if name == "B" else p.get("max_features") or "sqrt"
-        return RandomForestRegressor(numTrees=1 if name == "DT" else p["n_estimators"], featureSubsetStrategy=strategy,
-                                     bootstrap=name != "DT", **tree)
+        forest = RandomForestClassifier if by_entropy(name, p) else RandomForestRegressor
+        return forest(numTrees=1 if name == "DT" else p["n_estimators"], featureSubsetStrategy=strategy,
+                      bootstrap=name != "DT", **tree)
     raise KeyError(f"no estimator named {name!r}")
 
 

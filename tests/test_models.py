@@ -167,3 +167,14 @@ def test_production_query_fits_the_production_models(monkeypatch, values):
     learning.production_score(None, "")
     assert calls == [(learning.TEST_YEAR, {})]
     assert scoring.PRODUCTION["RF"]["n_estimators"] == 10000
+
+
+@pytest.mark.parametrize("name", ["RF", "B"])
+def test_entropy_forests_have_all_their_trees(separable, name):
+    train, test = separable
+    params = {"n_estimators": 7, "max_depth": 4, "criterion": "entropy"}
+    assert ML.fit_model(train, name, params, PREDICTORS).getNumTrees == 7
+    fit = ML.estimator(name, params, 10)
+    assert fit.getBootstrap() and fit.getFeatureSubsetStrategy() == ("all" if name == "B" else "sqrt")
+    out = ML.run_model(train, test, name, params, PREDICTORS, ["id"])
+    assert M.roc_auc(out, "score", "label").first().auc_roc > 0.75
