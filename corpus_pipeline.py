@@ -43,7 +43,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
           ("mixture", mixture), ("shards", shards)]
 
-#: Language identification and sharding have no SQL; tests hold the pipeline against brute force.
+#: Language identification and sharding have no SQL; tests hold the stages' operators against brute force, none runs all five together.
 ORACLE_SQL = None
 
 
