@@ -9,8 +9,11 @@ from areapanel.llm import (  # noqa: F401  (importing registers the queries)
     mixing,
     prefix_counts,
     sharding,
+    source_audit,
+    token_alignment,
     token_files,
     top_k,
+    toxicity,
 )
 from areapanel.llm.tables import QUERIES, SQL
 
