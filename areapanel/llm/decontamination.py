@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.llm.tables import query, scratch_path, table
+from areapanel.llm.tables import as_struct, from_struct, query, scratch_path, table
 from areapanel.llm.words import MARKS, blocks, split_words
 
 WINDOW = 10
@@ -246,8 +246,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Documents without a word in any test window; columns unchanged."""
     bad = contamination(docs, benchmark, size).where("n_hit > 0").select("text_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(bad.withColumnRenamed("text_key", "_key"), "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(as_struct(docs).alias("doc"), F.xxhash64("text").alias("text_key"))
+    return from_struct(keyed.join(bad, "text_key", "left_anti"), "doc", docs.columns)
 
 
 @query("op7_positional_index_decontamination")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.llm.tables import connected_components, query, stage, table
+from areapanel.llm.tables import as_struct, connected_components, from_struct, query, stage, table
 from areapanel.llm.words import SPACES, Words, blocks, mix, split_words
 
 N_GRAM = 5
@@ -410,10 +410,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     chosen = found.where("n_shingles > 0").groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
     chosen = chosen.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_key"] == chosen["_text"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    keyed = docs.select(as_struct(docs).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("text_key").alias("chosen_key")).distinct()
+    kept = keyed.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("key") == F.col("chosen_key")), "left_semi")
+    return from_struct(kept.dropDuplicates(["id", "key"]), "doc", docs.columns)
 
 
 @query("op10_ngram_jaccard_join")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.llm.tables import in_bucket, query, stage, table
+from areapanel.llm.tables import as_struct, from_struct, in_bucket, query, stage, table
 from areapanel.llm.words import NOT_LETTERS, Words, blocks, mix, split_words
 
 SAMPLE_DOCS = 600
@@ -310,8 +310,9 @@ def learn_and_predict(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Documents with a language of at least this score; columns unchanged."""
     poor = stage(learn_and_predict(docs).where(F.col("lang_pred").eqNullSafe(UNKNOWN) | (F.col("score") < min_score)).select(
-        F.col("text_key").alias("_key")).distinct(), "poor")
-    return docs.withColumn("_key", F.xxhash64("text")).join(poor, "_key", "left_anti").select(*docs.columns)
+        "text_key").distinct(), "poor")
+    keyed = docs.select(as_struct(docs).alias("doc"), F.xxhash64("text").alias("text_key"))
+    return from_struct(keyed.join(poor, "text_key", "left_anti"), "doc", docs.columns)
 
 
 @query("op2_crf_language_id")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.llm.tables import query, running_totals, stage, table
+from areapanel.llm.tables import as_struct, query, running_totals, stage, table
 
 SHARDS = 16
 ROUNDS = 4
@@ -70,8 +70,12 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int, slac
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, keep: tuple = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the columns `keep` of docs (doc_id, text)."""
-    rows = docs.withColumn("node", F.xxhash64("text"))
-    sizes = stage(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "node", *keep,
+    clash = set(keep) & {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    if clash:
+        raise ValueError(f"columns of the result cannot be kept: {sorted(clash)}")
+    kept_columns = [as_struct(docs, keep).alias("doc")] if keep else []
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("node"), *kept_columns)
+    sizes = stage(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "node", *(["doc"] if keep else []),
                               (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
                               F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
     nodes = sizes.groupBy("node").agg(F.sum("size").alias("bytes"))
@@ -106,7 +110,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     ranked = stage(ranked, "ranked")
     firsts = {r.shard: r.place for r in ranked.groupBy("shard").agg(F.min("place").alias("place")).collect()}
     first = F.create_map(*[F.lit(x) for s, v in firsts.items() for x in (s, v)])[F.col("shard")] if firsts else F.lit(0)
-    return ranked.select("doc_id", *keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+    return ranked.select("doc_id", *[F.col(f"doc.`{c}`").alias(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

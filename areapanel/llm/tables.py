@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from areapanel.session import scratch_path, stage
 
-__all__ = ["QUERIES", "SQL", "connected_components", "query", "running_totals", "scratch_path", "spread_text", "stage", "table"]
+__all__ = ["QUERIES", "SQL", "as_struct", "connected_components", "from_struct", "query", "running_totals", "scratch_path", "spread_text", "stage", "table"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def as_struct(df: DataFrame, columns=None) -> Column:
+    """The columns as one struct, so that helper columns beside it can have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)])
+
+
+def from_struct(df: DataFrame, name: str, columns) -> DataFrame:
+    """The columns out of the struct `name` again, nothing else."""
+    return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in columns])
+
+
 def in_bucket(key: str, modulus: int, remainder: int) -> Column:
     """crc32 of the key as text has this remainder; null keys count as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from itertools import accumulate
+import uuid
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.llm.tables import query, stage, table
+from areapanel.llm.tables import query, scratch_path, stage, table
 from areapanel.llm.words import blocks
 
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -36,6 +36,7 @@ BLOCK_BYTES = 16 << 20
 CHUNK_LINKS = 1_000_000
 LARGE_GROUP = 4096
 HELD_PAIRS = 2_000_000
+MAX_BUCKETS = 100_000
 #: The fast encoder's pattern engine has a bounded stack; texts with a longer run of white space go to the other one.
 LONG_BLANK = re.compile(r"\s{5000}")
 
@@ -80,40 +81,38 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode("utf-8"))
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
-
 
 class Pair:
-    """Two tokenizers with token lengths and decimal names."""
+    """Two tokenizers, with token lengths, and token numbers as text followed by what comes after them (`,` or the end of a side)."""
 
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteLevel(a), Pieces(b)
-        self.lengths = [list(map(len, x.bytes)) for x in (self.a, self.b)]
-        self.names = [[str(i) for i in range(len(x.bytes))] for x in (self.a, self.b)]
+        self.lengths = [np.array(list(map(len, x.bytes)), np.int64) for x in (self.a, self.b)]
+        self.names = [np.array([f"{i}{after}" for i in range(len(x.bytes)) for after in (",", end)], object) for x, end in ((self.a, "|"), (self.b, ";"))]
         self.width = [np.uint16 if len(x.bytes) <= 1 << 16 else np.uint32 for x in (self.a, self.b)]
 
-    def groups(self, text: str, b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Ids of both sides and the number of tokens of each up to every common end; empty lists for a text that is not given back."""
+    def groups(self, text: str, b: list[int]) -> tuple[np.ndarray, ...] | None:
+        """(ids, ids, cuts, cuts): the cuts count each side's tokens up to every common end. None for a text that a tokenizer does not give back."""
         whole = b" " + text.encode("utf-8")
         if b"".join(map(self.b.bytes.__getitem__, b)) != whole:
-            return [], [], [], []
+            return None
         a = self.a.encode(" " + text)
         if b"".join(map(self.a.bytes.__getitem__, a)) != whole:
-            return [], [], [], []
-        ends_a = dict(zip(accumulate(map(self.lengths[0].__getitem__, a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(self.lengths[1].__getitem__, b)), range(1, len(b) + 1)))
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a = dict(zip(np.cumsum(self.lengths[0][a]).tolist(), range(1, len(a) + 1)))
+        ends_b = dict(zip(np.cumsum(self.lengths[1][b]).tolist(), range(1, len(b) + 1)))
         common = sorted(ends_a.keys() & ends_b.keys())
-        return a, b, list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
+        return a, b, np.array(list(map(ends_a.__getitem__, common)), np.int64), np.array(list(map(ends_b.__getitem__, common)), np.int64)
 
-    def written(self, a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int]) -> str:
+    def written(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
         """The groups as text: ids joined by commas, sides by |, groups by ;."""
-        a, b = list(map(self.names[0].__getitem__, a)), list(map(self.names[1].__getitem__, b))
-        out, lo_a, lo_b = [], 0, 0
-        for hi_a, hi_b in zip(cuts_a, cuts_b):
-            out.append(f"{a[lo_a] if hi_a == lo_a + 1 else ','.join(a[lo_a:hi_a])}|{b[lo_b] if hi_b == lo_b + 1 else ','.join(b[lo_b:hi_b])}")
-            lo_a, lo_b = hi_a, hi_b
-        return ";".join(out)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[cuts_a - 1] = last_b[cuts_b - 1] = 1
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + np.repeat(cuts_b - np.diff(cuts_b, prepend=0), np.diff(cuts_a, prepend=0))] = self.names[0][2 * a + last_a]
+        out[np.arange(len(b)) + np.repeat(cuts_a, np.diff(cuts_b, prepend=0))] = self.names[1][2 * b + last_b]
+        return "".join(out.tolist())[:-1]
 
 
 _kept: dict = {}
@@ -126,16 +125,19 @@ def pair_of(a: str, b: str) -> Pair:
     return _kept[a, b]
 
 
+ALIGNED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+           "a_ids binary, b_ids binary, a_marks binary, b_marks binary")
+
+
+NONE = np.zeros(0, np.int64)
+
+
 def _marks(cuts: np.ndarray, n: int) -> bytes:
     bits = np.zeros(n, bool)
     bits[cuts - 1] = True
     return np.packbits(bits).tobytes()
 
 
-ALIGNED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-           "a_ids binary, b_ids binary, a_marks binary, b_marks binary")
-
-
 def _align(name_a: str, name_b: str, block_bytes: int):
     def run(batches):
         pair = pair_of(name_a, name_b)
@@ -145,30 +147,38 @@ def _align(name_a: str, name_b: str, block_bytes: int):
             for lo, hi in blocks(batch.column(1), 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 rows = []
-                for text, b in zip(texts, pair.b.encode_all(texts)):
-                    a, b, cuts_a, cuts_b = pair.groups(text, b) if text else ([], [], [], [])
-                    digest = hashlib.sha256(pair.written(a, b, cuts_a, cuts_b).encode()).hexdigest() if a else ""
-                    at, bt = np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
-                    links = int((np.diff(at, prepend=0) * np.diff(bt, prepend=0)).sum())
+                for text, b in zip(texts, pair.b.model.encode(texts, num_threads=1)):
+                    found = pair.groups(text, b) if text else None
+                    digest = hashlib.sha256(pair.written(*found).encode()).hexdigest() if found else ""
+                    a, b, cuts_a, cuts_b = found or (NONE, NONE, NONE, NONE)
+                    links = int(np.diff(cuts_a, prepend=0) @ np.diff(cuts_b, prepend=0))
                     size = len(text)
                     if filled and filled + size > block_bytes:
                         number, filled = number + 1, 0
                     filled += size
-                    rows.append((first + number, len(a), len(b), len(cuts_a), links, digest, np.array(a, pair.width[0]).tobytes(),
-                                 np.array(b, pair.width[1]).tobytes(), _marks(at, len(a)), _marks(bt, len(b))))
-                block, n_a, n_b, n_groups, n_links, digest, ids_a, ids_b, marks_a, marks_b = zip(*rows)
+                    rows.append((first + number, len(a), len(b), len(cuts_a), links, digest, a.astype(pair.width[0]).tobytes(),
+                                 b.astype(pair.width[1]).tobytes(), _marks(cuts_a, len(a)), _marks(cuts_b, len(b))))
+                block, n_a, n_b, n_groups, n_links, digest, *parts = zip(*rows)
                 longs = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block, pa.int64()), batch.column(0).slice(lo, hi - lo), *longs, pa.array(digest, pa.string()),
-                     *[pa.array(x, pa.binary()) for x in (ids_a, ids_b, marks_a, marks_b)]],
+                     *[pa.array(x, pa.binary()) for x in parts]],
                     ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a_ids", "b_ids", "a_marks", "b_marks"])
     return run
 
 
 def align(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The alignment of every text of docs (doc_id, text), kept as a table: see `ALIGNED`."""
+    """The alignment of every text of docs (doc_id, text), kept as a table: see `ALIGNED`.
+
+    The table is bucketed by block as the tasks write it, so that what is asked for a block later meets it without moving the alignment.
+    """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(_align(a, b, block_bytes), ALIGNED), "aligned")
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
+    name = f"aligned_{uuid.uuid4().hex}"
+    rows.mapInArrow(_align(a, b, block_bytes), ALIGNED).write.option("path", scratch_path(spark, "aligned")).option("compression", "zstd").bucketBy(
+        buckets, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 # --- links ---------------------------------------------------------------------------------------------------------
@@ -176,7 +186,11 @@ def align(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, block_bytes: in
 def links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
     """(group, a, b, times) of all linked pairs, in chunks; n_a and n_b are the groups' sizes, ids follow each other."""
     at_a, at_b, n = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
-    small = np.flatnonzero(n <= LARGE_GROUP)
+    single = np.flatnonzero(n == 1)
+    for lo in range(0, len(single), CHUNK_LINKS):
+        group = single[lo:lo + CHUNK_LINKS]
+        yield group, a[at_a[group]], b[at_b[group]], np.ones(len(group), np.int64)
+    small = np.flatnonzero((n > 1) & (n <= LARGE_GROUP))
     before = np.cumsum(n[small])
     lo = 0
     while lo < len(small):
@@ -186,7 +200,7 @@ def links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
         inside = np.arange(len(group)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
         yield group, a[at_a[group] + inside // n_b[group]], b[at_b[group] + inside % n_b[group]], np.ones(len(group), np.int64)
         lo = hi
-    for g in np.flatnonzero(n > LARGE_GROUP).tolist():
+    for g in np.flatnonzero((n > 1) & (n > LARGE_GROUP)).tolist():
         left, times_a = np.unique(a[at_a[g]:at_a[g] + n_a[g]], return_counts=True)
         right, times_b = np.unique(b[at_b[g]:at_b[g] + n_b[g]], return_counts=True)
         step = max(1, CHUNK_LINKS // len(right))

@@ -275,7 +275,7 @@ def test_mixing_meets_its_targets(spark):
     drawn = mixing.mix(df, wanted, columns=("doc_id",)).collect()
     tokens = collections.Counter()
     for r in drawn:
-        tokens[r._source] += r._tokens
+        tokens[r.source] += r.tokens
     assert tokens["small"] / sum(tokens.values()) == pytest.approx(0.5, abs=0.06)
     kept = mixing.keep_mix(df)
     assert kept.columns == df.columns and kept.count() == kept.distinct().count()
