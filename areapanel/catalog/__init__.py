@@ -10,6 +10,7 @@ from areapanel.catalog import (  # noqa: F401  (importing registers the queries)
     joins,
     learning,
     ranks,
+    trees,
 )
 from areapanel.catalog.base import QUERIES, SQL
 

@@ -9,7 +9,7 @@ from areapanel.catalog.aggregates import rounded
 from areapanel.catalog.base import query, table
 from areapanel.operators import features as FE
 from areapanel.operators import metrics as M
-from areapanel.operators import ordering as O
+from areapanel.operators.selection import flag_first
 
 RUNS = ["model", "split_date"]
 KS = "(VALUES " + ", ".join(f"({k})" for k in M.REPORT_K) + ") ks(k)"
@@ -88,7 +88,7 @@ SELECT *, round(fn / nullif(fn + tp, 0)::double, 9) AS fnr, round(fn / nullif(fn
   round(fp / nullif(fp + tp, 0)::double, 9) AS fdr, round(tp / nullif(tp + fn, 0)::double, 9) AS tpr,
   round(tn / nullif(tn + fp, 0)::double, 9) AS tnr FROM c WHERE group_size >= 5""", views="scored")
 def bias_crosstab(spark, folder):
-    flagged = O.flag_top_k(B.scored(spark, folder), [], M.score_order("score", ["doc_id"]), 10)
+    flagged = flag_first(B.scored(spark, folder), [], M.score_rank("score", ["doc_id"]), 10)
     table_ = M.bias_crosstab(flagged, "flag", "label", ["lang", "source"], min_group_size=5)
     return rounded(table_, ["fnr", "for", "fdr", "tpr", "tnr"], 9)
 

@@ -65,12 +65,11 @@ def quantile_bins(spark, folder):
 
 @query("one_hot", """
 SELECT o_orderkey, coalesce(cast(s = 'F' AS int), 0) AS "status_F", coalesce(cast(s = 'O' AS int), 0) AS "status_O",
-  coalesce(cast(s = 'X' AS int), 0) AS "status_X", cast(s IS NULL AS int) AS status_nan
+  coalesce(cast(s = 'P' AS int), 0) AS "status_P", coalesce(cast(s = 'X' AS int), 0) AS "status_X", cast(s IS NULL AS int) AS status_nan
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS s FROM orders)""")
 def one_hot(spark, folder):
     status = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status")
-    # The SQL has no column for status P and gives its rows zeros.
-    return FE.one_hot(table(spark, folder, "orders").select("o_orderkey", status), {"status": ["F", "O", "X"]}, unlisted="zero")
+    return FE.one_hot(table(spark, folder, "orders").select("o_orderkey", status), {"status": ["F", "O", "P", "X"]})
 
 
 def one_hot_sql(c: str) -> str:

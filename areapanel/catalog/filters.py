@@ -8,6 +8,7 @@ from areapanel.catalog import base as B
 from areapanel.catalog.base import query, table
 from areapanel.operators import metrics as M
 from areapanel.operators import ordering as O
+from areapanel.operators.selection import flag_first
 from areapanel.operators import panel as P
 from areapanel.sources import landed as L
 
@@ -71,7 +72,7 @@ def source_predicate(spark, folder):
 SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS pos, count(*) OVER () AS n FROM scored)
 WHERE pos < floor(n * (10 / 100.0::double))""", views="scored")
 def flagged_entities(spark, folder):
-    flagged = O.flag_top_k(B.scored(spark, folder), [], M.score_order("score", ["doc_id"]), 10)
+    flagged = flag_first(B.scored(spark, folder), [], M.score_rank("score", ["doc_id"]), 10)
     return flagged.where(F.col("flag") == 1).select("doc_id")
 
 

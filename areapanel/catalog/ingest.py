@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from areapanel.catalog import base as B
 from areapanel.catalog.base import query, table
 from areapanel.functions import scalar as S
+from areapanel.operators.selection import sample_exact
 from areapanel.session import scratch_path
 from areapanel.sources import landed as L
 from areapanel.sources import schemas as C
@@ -139,9 +140,11 @@ def csv_roundtrip(spark, folder):
                                    "o_totalprice double, o_orderdate timestamp_ntz")
 
 
-@query("sample_5pct")
+@query("sample_5pct", """
+SELECT * FROM orders QUALIFY row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || o_orderkey), 1, 13))::BIGINT, o_orderkey)
+  <= floor(count(*) OVER () * 0.05::DOUBLE)""")
 def sample_5pct(spark, folder):
-    return L.sample_share(table(spark, folder, "orders"), 0.05, seed=7)
+    return sample_exact(table(spark, folder, "orders"), ["o_orderkey"], 0.05, seed=7)
 
 
 @query("load_polygons_join", """

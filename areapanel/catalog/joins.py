@@ -8,7 +8,7 @@ from areapanel.catalog import base as B
 from areapanel.catalog.base import query, table
 from areapanel.functions import scalar as S
 from areapanel.operators import metrics as M
-from areapanel.operators import ordering as O
+from areapanel.operators.selection import flag_first
 from areapanel.operators import panel as P
 from areapanel.operators.spatial import spatial_join as join_points
 from areapanel.plans.panel_build import violation_panel
@@ -23,7 +23,7 @@ def crime_home(spark, folder):
 def predictions(spark, folder):
     """Top decile of the last year as predictions per tract."""
     last = B.panel_table(spark, folder).where(F.col("year") == 2001)
-    return O.flag_top_k(last, [], M.score_order("filings_rate", ["tract"]), 10, name="prediction") \
+    return flag_first(last, [], M.score_rank("filings_rate", ["tract"]), 10, name="prediction") \
         .select("tract", "year", "prediction")
 
 
@@ -136,8 +136,8 @@ SELECT doc_id, cast(pos < floor(n * (10 / 100.0::double)) AS int) AS score, labe
 FROM (SELECT *, row_number() OVER (ORDER BY s.score DESC, label DESC, doc_id) - 1 AS pos, count(*) OVER () AS n FROM scored s)""",
        views="scored")
 def aligned_assign(spark, folder):
-    order = [F.desc("score"), F.desc("label"), F.asc("doc_id")]
-    return O.flag_top_k(B.scored(spark, folder), [], order, 10).select(
+    order = [("score", False), ("label", False), ("doc_id", True)]
+    return flag_first(B.scored(spark, folder), [], order, 10).select(
         "doc_id", F.col("flag").alias("score"), F.col("label").alias("label_value"), "lang", "source")
 
 

@@ -10,6 +10,7 @@ from areapanel.catalog.base import query
 from areapanel.catalog.filters import PCT
 from areapanel.operators import metrics as M
 from areapanel.operators import ordering as O
+from areapanel.operators.selection import flag_first
 from areapanel.operators import panel as P
 
 
@@ -34,7 +35,7 @@ SELECT model, split_date, doc_id, cast(row_number() OVER (PARTITION BY model, sp
   < floor(count(*) OVER (PARTITION BY model, split_date) * (10 / 100.0::double)) AS int) AS flag FROM scored_runs""",
        views="scored scored_runs")
 def flag_top_k(spark, folder):
-    flagged = O.flag_top_k(B.score_table(spark, folder), ["model", "split_date"], M.score_order("score", ["doc_id"]), 10)
+    flagged = flag_first(B.score_table(spark, folder), ["model", "split_date"], M.score_rank("score", ["doc_id"]), 10)
     return flagged.select("model", "split_date", "doc_id", "flag")
 
 

@@ -24,6 +24,11 @@ def score_order(score: str, keys: Sequence[str]) -> list[Column]:
     return [F.col(score).desc(), *[F.col(k).asc() for k in keys]]
 
 
+def score_rank(score: str, keys: Sequence[str]) -> list[tuple[str, bool]]:
+    """The same order as (column, ascending) pairs."""
+    return [(score, False), *[(k, True) for k in keys]]
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.when(b != 0, a.cast("double") / b).otherwise(F.lit(0.0))

@@ -2,9 +2,10 @@
 
 Trees and forests are regression trees on the 0/1 label. Variance of such a label is half its gini impurity, so the
 splits are the gini splits, and every leaf keeps its share of positives. MLlib's tree classifiers merge leaves with the
-same majority class, which leaves one node when positives are rare. The entropy criterion has no regression tree: there
-the classes are weighted to balance, and the weights are taken out of the leaf shares again; sister leaves on the same
-side of the overall share are still merged.
+same majority class, which leaves one node when positives are rare.
+
+`run_model` grows single trees, trees by entropy and trees deeper than MLlib allows as tables instead (`operators.trees`), so
+their depth is what was asked for and their leaves keep their shares. `estimator` still offers MLlib's entropy trees.
 
 A forest of more than `BATCH_TREES` trees is fitted and scored by `run_model` in batches, so the driver holds the trees
 of a few batches at a time; its score is the mean over all trees.
@@ -32,6 +33,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areapanel.operators import trees
 from areapanel.operators.neighbours import knn_score
 from areapanel.session import scratch_path, stage
 
@@ -114,9 +116,9 @@ def model_grid(size: str) -> tuple[dict, dict]:
 
 
 def effective(params: Mapping) -> dict:
-    """The parameters as they are fitted: trees are no deeper than MLlib allows."""
+    """The parameters as they are fitted: boosted trees and those of forests fitted in batches are no deeper than MLlib allows."""
     out = dict(params)
-    if out.get("max_depth"):
+    if out.get("max_depth") and ("learning_rate" in out or out.get("n_estimators", 1) > BATCH_TREES):
         out["max_depth"] = min(out["max_depth"], MAX_TREE_DEPTH)
     return out
 
@@ -144,6 +146,14 @@ def by_entropy(name: str, params: Mapping) -> bool:
     return name in ("RF", "B", "DT") and params.get("criterion") == "entropy"
 
 
+def grown_as_tables(name: str, params: Mapping) -> bool:
+    """Whether a model's trees are grown by `operators.trees`."""
+    if name not in ("DT", "RF", "B"):
+        return False
+    deep = (params.get("max_depth") or MAX_TREE_DEPTH + 1) > MAX_TREE_DEPTH
+    return name == "DT" or by_entropy(name, params) or (deep and {**DEFAULTS[name], **params}["n_estimators"] <= BATCH_TREES)
+
+
 def estimator(name: str, params: Mapping, n_train: int, label: str = "label", seed: int = SEED):
     """MLlib estimator for a model name and its parameters over `n_train` rows."""
     p = {**DEFAULTS[name], **params}
@@ -266,6 +276,9 @@ def run_model(train: DataFrame, test: DataFrame, name: str, params: Mapping, pre
         scores = knn_score(train.withColumn("features", vector), test.withColumn("features", vector), keys,
                            "features", label, k=p["n_neighbors"], weights=p.get("weights", "uniform"))
         return test.join(scores, list(keys))
+    if grown_as_tables(name, params):
+        model = trees.grow(train, predictors, label, keys, seed=SEED, **trees.fit_params(name, {**DEFAULTS[name], **params}))
+        return trees.score(model, test).withColumn("score", F.coalesce("score", F.lit(0.0)))
     if len(tree_batches(name, params)) > 1:
         return score_in_batches(train, test, name, params, predictors, label)
     model, positives = fit_balanced(train, name, params, predictors, label)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from areapanel.operators import features as FE
 from areapanel.operators import metrics as M
 from areapanel.operators import models as ML
-from areapanel.operators.ordering import flag_top_k
+from areapanel.operators.selection import flag_first
 from areapanel.session import scratch_path, stage
 from areapanel.sources.landed import write_csv
 
@@ -58,7 +58,7 @@ def production_score(labelled: DataFrame, test_year: int, keys: Sequence[str] =
         for name, params in models.items():
             # Ranking reads the scores several times, the caller after the train set is let go.
             scores = stage(ML.run_model(train_x, test_x, name, params, predictors, keys).select(*keys, "score"), "scores")
-            flagged = flag_top_k(scores, [], M.score_order("score", keys), top,
+            flagged = flag_first(scores, [], M.score_rank("score", keys), top,
                                  name=f"prediction_{name.lower()}").drop("score")
             out = flagged if out is None else out.join(flagged, list(keys))
         if output:

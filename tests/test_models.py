@@ -39,8 +39,10 @@ def test_grids_and_unknown_size():
     defaults, grid = ML.model_grid("test")
     assert set(grid) == set(defaults) and all(len(list(ML.grid_points(g))) == 1 for g in grid.values())
     points = list(ML.grid_points(ML.GRIDS["large"]["RF"]))
-    # depths 50 and 100 are fitted as MLlib's deepest, once and under that name
-    assert len(points) == 5 * 5 * 2 * 3 and max(p["max_depth"] for p in points) == ML.MAX_TREE_DEPTH
+    # forests in batches are fitted as MLlib's deepest, once and under that name; others as deep as asked for
+    assert len(points) == (3 * 6 + 2 * 5) * 2 * 3
+    assert max(p["max_depth"] for p in points if p["n_estimators"] > ML.BATCH_TREES) == ML.MAX_TREE_DEPTH
+    assert max(p["max_depth"] for p in points if p["n_estimators"] <= ML.BATCH_TREES) == 100
     with pytest.raises(KeyError):
         ML.model_grid("huge")
 
