@@ -9,6 +9,7 @@ from areapanel.catalog import (  # noqa: F401  (importing registers the queries)
     ingest,
     joins,
     learning,
+    linear,
     ranks,
     trees,
 )

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areapanel.operators import trees
+from areapanel.operators.linear import fit_linear
 from areapanel.operators.neighbours import knn_score
 from areapanel.session import scratch_path, stage
 
@@ -269,13 +270,20 @@ def fit_model(train: DataFrame, name: str, params: Mapping, predictors: Sequence
 
 def run_model(train: DataFrame, test: DataFrame, name: str, params: Mapping, predictors: Sequence[str],
               keys: Sequence[str], label: str = "label") -> DataFrame:
-    """Fit one model by name; returns the test rows with `score`."""
+    """Fit one model by name; returns the test rows with `score`.
+
+    With solver='exact', logistic regression and the linear SVM (then of squared hinge) are fitted to their optimum by Newton steps.
+    """
     if name == "KNN":
         p = {**DEFAULTS["KNN"], **params}
         vector = F.array(*[F.col(c).cast("double") for c in predictors])
         scores = knn_score(train.withColumn("features", vector), test.withColumn("features", vector), keys,
                            "features", label, k=p["n_neighbors"], weights=p.get("weights", "uniform"))
         return test.join(scores, list(keys))
+    if name in ("LR", "SVM") and params.get("solver") == "exact":
+        p = {**DEFAULTS[name], **params}
+        model = fit_linear(train, predictors, label, "logistic" if name == "LR" else "squared_hinge", p.get("penalty", "l2"), p.get("C", 1.0))
+        return test.withColumn("score", model.score())
     if grown_as_tables(name, params):
         model = trees.grow(train, predictors, label, keys, seed=SEED, **trees.fit_params(name, {**DEFAULTS[name], **params}))
         return trees.score(model, test).withColumn("score", F.coalesce("score", F.lit(0.0)))
