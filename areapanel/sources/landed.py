@@ -119,10 +119,9 @@ def tract_dimension(raw: DataFrame, keep_geometry: bool = False) -> DataFrame:
     return raw.select(S.zero_pad("tract").alias("tract"), "commarea", *geometry)
 
 
-def census_codes(year: int, level: str, tables: Mapping = C.EDUCATION_TABLES,
-                 levels: Mapping = C.EDUCATION_LEVELS) -> list[str]:
+def census_codes(year: int, level: str, levels: Mapping = C.EDUCATION_LEVELS) -> list[str]:
     """Census variable names of a level."""
-    return [f"{tables[year]}_{n:03d}E" for first, last in levels[year][level] for n in range(first, last + 1)]
+    return list(levels[year][level])
 
 
 def education_shares(surveys: Mapping[int, DataFrame], codes: Mapping[int, Mapping[str, Sequence[str]]] | None = None,

@@ -13,27 +13,58 @@ CRIME_CLASSES = {
                               "19", "20", "22", "24", "26"],
 }
 
-# Census variables per attainment level, as (first, last) numbers in the year's table.
+# Census variables per attainment level.
 # 2017 counts everyone in one block; 2010 counts men and women in two.
 EDUCATION_TABLES = {2010: "B15002", 2017: "B15003"}
 EDUCATION_LEVELS = {
     2010: {
-        "up_to_middle": [(3, 6), (20, 23)],
-        "not_highschool_grad": [(7, 10), (24, 27)],
-        "high_school_grad": [(11, 11), (28, 28)],
-        "some_college": [(12, 13), (29, 30)],
-        "associate": [(14, 14), (31, 31)],
-        "bachelor": [(15, 15), (32, 32)],
-        "graduate": [(16, 18), (33, 35)],
+        "up_to_middle": [
+            "B15002_003E", "B15002_004E", "B15002_005E", "B15002_006E", "B15002_020E", "B15002_021E", "B15002_022E",
+            "B15002_023E",
+        ],
+        "not_highschool_grad": [
+            "B15002_007E", "B15002_008E", "B15002_009E", "B15002_010E", "B15002_024E", "B15002_025E", "B15002_026E",
+            "B15002_027E",
+        ],
+        "high_school_grad": [
+            "B15002_011E", "B15002_028E",
+        ],
+        "some_college": [
+            "B15002_012E", "B15002_013E", "B15002_029E", "B15002_030E",
+        ],
+        "associate": [
+            "B15002_014E", "B15002_031E",
+        ],
+        "bachelor": [
+            "B15002_015E", "B15002_032E",
+        ],
+        "graduate": [
+            "B15002_016E", "B15002_017E", "B15002_018E", "B15002_033E", "B15002_034E", "B15002_035E",
+        ],
     },
     2017: {
-        "up_to_middle": [(2, 12)],
-        "not_highschool_grad": [(13, 16)],
-        "high_school_grad": [(17, 18)],
-        "some_college": [(19, 20)],
-        "associate": [(21, 21)],
-        "bachelor": [(22, 22)],
-        "graduate": [(23, 25)],
+        "up_to_middle": [
+            "B15003_002E", "B15003_003E", "B15003_004E", "B15003_005E", "B15003_006E", "B15003_007E", "B15003_008E",
+            "B15003_009E", "B15003_010E", "B15003_011E", "B15003_012E",
+        ],
+        "not_highschool_grad": [
+            "B15003_013E", "B15003_014E", "B15003_015E", "B15003_016E",
+        ],
+        "high_school_grad": [
+            "B15003_017E", "B15003_018E",
+        ],
+        "some_college": [
+            "B15003_019E", "B15003_020E",
+        ],
+        "associate": [
+            "B15003_021E",
+        ],
+        "bachelor": [
+            "B15003_022E",
+        ],
+        "graduate": [
+            "B15003_023E", "B15003_024E", "B15003_025E",
+        ],
     },
 }
 
@@ -44,25 +75,22 @@ SURVEY_YEARS = {
 }
 EDUCATION_SURVEY_YEARS = {2010: [2010, 2011, 2012, 2013, 2014, 2015, 2016, 2017], 2017: [2018]}
 
-_TENANTS = ["tenant_prose", "tenant_represented", "tenant_rep_pa", "tenant_rep_laa"]
-
 # Columns of the rates base.
 RATE_COLUMNS = [
-    "eviction_filings_total", "eviction_filings_rate", "eviction_filings_completed",
-    "case_type_single_action", "case_type_joint_action",
-    "back_rent_median", "back_rent_0", "back_rent_1_to_999", "back_rent_1000_to_2499",
-    "back_rent_2500_to_4999", "back_rent_5000_or_more",
-    "landlord_represented", "tenant_represented", "tenant_rep_pa", "tenant_rep_laa",
-    "eviction_order_yes", "eviction_order_no",
-    *[f"eviction_order_{answer}_{t}" for t in _TENANTS for answer in ("yes", "no")],
-    *[f"ftu_{outcome}{t}" for t in ("", "_tenant_prose", "_tenant_represented")
-      for outcome in ("eviction_order", "other_outcome", "no_outcome")],
-    *[f"default_eviction_order_{answer}{t}" for t in ("", "_tenant_prose", "_tenant_represented")
-      for answer in ("yes", "no")],
+    "eviction_filings_total", "eviction_filings_rate", "eviction_filings_completed", "case_type_single_action",
+    "case_type_joint_action", "back_rent_median", "back_rent_0", "back_rent_1_to_999", "back_rent_1000_to_2499",
+    "back_rent_2500_to_4999", "back_rent_5000_or_more", "landlord_represented", "tenant_represented", "tenant_rep_pa",
+    "tenant_rep_laa", "eviction_order_yes", "eviction_order_no", "eviction_order_yes_tenant_prose",
+    "eviction_order_no_tenant_prose", "eviction_order_yes_tenant_represented", "eviction_order_no_tenant_represented",
+    "eviction_order_yes_tenant_rep_pa", "eviction_order_no_tenant_rep_pa", "eviction_order_yes_tenant_rep_laa",
+    "eviction_order_no_tenant_rep_laa", "ftu_eviction_order", "ftu_other_outcome", "ftu_no_outcome",
+    "ftu_eviction_order_tenant_prose", "ftu_other_outcome_tenant_prose", "ftu_no_outcome_tenant_prose",
+    "ftu_eviction_order_tenant_represented", "ftu_other_outcome_tenant_represented",
+    "ftu_no_outcome_tenant_represented", "default_eviction_order_yes", "default_eviction_order_no",
+    "default_eviction_order_yes_tenant_prose", "default_eviction_order_no_tenant_prose",
+    "default_eviction_order_yes_tenant_represented", "default_eviction_order_no_tenant_represented",
 ]
 
-RATES_SCHEMA = "filing_year string, tract string, " + ", ".join(f"{c} double" for c in RATE_COLUMNS)
-
 # Population groups in the order ties are resolved, and the labels they get.
 RACE_ORDER = [("Black", "population_race_black"), ("White", "population_race_white"),
               ("Latin", "population_race_latinx"), ("Asian", "population_race_asian")]
