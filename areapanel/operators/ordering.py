@@ -46,9 +46,8 @@ def _sized(stats: DataFrame) -> tuple[DataFrame, int, int, pa.Table | None]:
     if pinned.is_small:
         sizes = pinned.table.column("_rows").to_pylist()
         return pinned.frame, max(sizes, default=0), sum(sizes), pinned.table
-    written = stage(stats, "group-stats")
-    largest, total = written.agg(F.max("_rows"), F.sum("_rows")).first()
-    return written, largest, total, None
+    largest, total = pinned.frame.agg(F.max("_rows"), F.sum("_rows")).first()
+    return pinned.frame, largest, total, None
 
 
 def _quantile_names(n: int) -> list[str]:

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,25 @@ def test_shared_folder_is_the_configured_one(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_folder(spark) == named
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_correlation_of_five_hundred_columns_against_pandas(spark, values):
+    rng = np.random.default_rng(3)
+    data = rng.normal(1e6, 1, (60, 500))
+    data[:, 1] = data[:, 0] * -2 + 5
+    data[:, 2] = 7.0
+    data[rng.random((60, 500)) < 0.1] = np.nan
+    data[1:, 3] = np.nan
+    names = [f"a.{i}" if i == 4 else f"c{i}" for i in range(500)]
+    frame = pd.DataFrame(data, columns=names)
+    found = PR.corr_matrix(spark.createDataFrame(frame), names)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    got = found.toPandas().pivot(index="a", columns="b", values="corr").loc[names, names].to_numpy(float)
+    want = frame.corr(min_periods=2).to_numpy()
+    want[2] = want[:, 2] = want[3] = want[:, 3] = np.nan
+    assert np.allclose(got, want, atol=1e-7, equal_nan=True)
+
+
+def test_correlation_of_no_rows_is_missing(values):
+    rows = PR.corr_matrix(values([], "a double, b double"), ["a", "b"]).collect()
+    assert all(r["corr"] is None for r in rows)
