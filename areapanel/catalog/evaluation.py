@@ -10,6 +10,7 @@ from areapanel.catalog.base import query, table
 from areapanel.operators import features as FE
 from areapanel.operators import metrics as M
 from areapanel.operators.selection import flag_first
+from areapanel.plans import scoring
 
 RUNS = ["model", "split_date"]
 KS = "(VALUES " + ", ".join(f"({k})" for k in M.REPORT_K) + ") ks(k)"
@@ -121,3 +122,29 @@ def leaderboard(spark, folder):
         F.col("correct_with_baseline").alias("p_at_10"))
     board = M.leaderboard(grid, persistence, "p_at_10", [f"{y}-01-01" for y in (2013, 2014, 2015, 2016)])
     return rounded(board, ["p_at_10"], 9)
+
+
+@query("best_models", f""", {AT_K}, {AUC},
+long AS (SELECT model, split_date, 'f1_at_10' AS metric, round(f, 9) AS value FROM full_prf WHERE k = 10 UNION ALL
+  SELECT model, split_date, 'auc_roc', round(auc, 9) FROM auc)
+SELECT metric, value, model, split_date FROM long JOIN (SELECT metric, max(value) AS value FROM long GROUP BY metric) USING (metric, value)""",
+       views="scored scored_runs")
+def best_models(spark, folder):
+    grid = M.metrics_grid(B.score_table(spark, folder), "score", "label", ["doc_id"], RUNS, ks=(10,))
+    return M.best_points(rounded(grid, ["f1_at_10", "auc_roc"], 9), ["f1_at_10", "auc_roc"], RUNS)
+
+
+@query("grid_bias", """
+, f AS (SELECT r.model, r.split_date, s.lang, s.source, r.label, cast(row_number() OVER (PARTITION BY r.model, r.split_date ORDER BY r.score DESC, r.doc_id) - 1
+    < floor(count(*) OVER (PARTITION BY r.model, r.split_date) * (10 / 100.0::double)) AS int) AS flag
+  FROM scored_runs r JOIN documents s USING (doc_id)),
+c AS (SELECT model, split_date, a AS attribute_name, v AS attribute_value, count(*) AS group_size, count(*) FILTER (WHERE flag = 1 AND label = 1) AS tp,
+    count(*) FILTER (WHERE flag = 1 AND label = 0) AS fp, count(*) FILTER (WHERE flag = 0 AND label = 1) AS fn,
+    count(*) FILTER (WHERE flag = 0 AND label = 0) AS tn
+  FROM (SELECT *, 'lang' AS a, lang AS v FROM f UNION ALL SELECT *, 'source', source FROM f) WHERE v IS NOT NULL GROUP BY ALL)
+SELECT *, round(fn / nullif(fn + tp, 0)::double, 9) AS fnr, round(fn / nullif(fn + tn, 0)::double, 9) AS "for",
+  round(fp / nullif(fp + tp, 0)::double, 9) AS fdr, round(tp / nullif(tp + fn, 0)::double, 9) AS tpr,
+  round(tn / nullif(tn + fp, 0)::double, 9) AS tnr FROM c""", views="scored scored_runs")
+def grid_bias(spark, folder):
+    found = scoring.grid_bias(B.score_table(spark, folder), table(spark, folder, "documents"), ["lang", "source"], ["doc_id"], runs=RUNS)
+    return rounded(found, ["fnr", "for", "fdr", "tpr", "tnr"], 9)

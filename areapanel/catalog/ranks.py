@@ -67,3 +67,33 @@ WHERE tp - pos < total_pos""", views="scored scored_runs")
 def pr_curve(spark, folder):
     curve = M.pr_curve(B.score_table(spark, folder), "score", "label", ["model", "split_date"])
     return rounded(curve, ["precision", "recall", "pct_population"], 9)
+
+
+HISTOGRAM = """hist AS (SELECT model, split_date, bin, lo + bin * ((hi - lo) / 64) AS low, count(*) AS n, sum(label)::bigint AS pos
+  FROM (SELECT s.*, lo, hi, CASE WHEN score >= hi THEN 63 WHEN score <= lo THEN 0
+          ELSE greatest(0, least(63, floor((score - lo) / ((hi - lo) / 64))))::int END AS bin
+        FROM scored_runs s JOIN (SELECT model, split_date, min(score) AS lo, max(score) AS hi FROM scored_runs GROUP BY ALL) USING (model, split_date))
+  GROUP BY model, split_date, bin, lo, hi),
+from_top AS (SELECT *, sum(n) OVER w AS m, sum(pos) OVER w AS tp, sum(n) OVER (PARTITION BY model, split_date) AS n_all,
+    sum(pos) OVER (PARTITION BY model, split_date) AS pos_all
+  FROM hist WINDOW w AS (PARTITION BY model, split_date ORDER BY bin DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("bounded_curve", f""", {HISTOGRAM}
+SELECT model, split_date, round(low, 6) AS threshold, round(tp / m::double, 9) AS precision, round(tp / pos_all::double, 9) AS recall,
+  round(m / n_all::double, 9) AS pct_population FROM from_top WHERE tp - pos < pos_all""", views="scored scored_runs")
+def bounded_curve(spark, folder):
+    runs = ["model", "split_date"]
+    histogram = M.score_histogram(B.score_table(spark, folder), "score", "label", runs, bins=64)
+    curve = M.bounded_curve(histogram, runs).withColumn("threshold", F.round("threshold", 6))
+    return rounded(curve, ["precision", "recall", "pct_population"], 9)
+
+
+@query("auc_bounds", f""", {HISTOGRAM}
+SELECT model, split_date, round(sum((n - pos) * (tp - pos)) / (any_value(pos_all) * (any_value(n_all) - any_value(pos_all)))::double, 9) AS auc_low,
+  round(sum((n - pos) * tp) / (any_value(pos_all) * (any_value(n_all) - any_value(pos_all)))::double, 9) AS auc_high
+FROM from_top GROUP BY model, split_date""", views="scored scored_runs")
+def auc_bounds(spark, folder):
+    runs = ["model", "split_date"]
+    histogram = M.score_histogram(B.score_table(spark, folder), "score", "label", runs, bins=64)
+    return rounded(M.auc_bounds(histogram, runs), ["auc_low", "auc_high"], 9)

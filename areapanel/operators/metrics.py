@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.operators.ordering import positions, running_counts, top_count
 from areapanel.operators.panel import non_null_keys, union_by_name, union_common
+from areapanel.operators.sizing import pin_small
 
 # The shares of the population, in percent, that results are reported at.
 REPORT_K = (1, 2, 5, 10, 20, 30, 50)
@@ -111,6 +112,61 @@ def pr_curve(df: DataFrame, score: str, label: str, groups: Sequence[str] = ())
                        safe_ratio(F.col("_n_run"), F.col("_n_all")).alias("pct_population"))
 
 
+def score_histogram(df: DataFrame, score: str, label: str, groups: Sequence[str] = (), bins: int = 1000) -> DataFrame:
+    """(groups, bin, low, n, pos): rows and positives in `bins` equal parts of each run's range of finite scores.
+
+    The table has at most `bins` rows per run, however many distinct scores there are, and every count is a sum. Rows without a score
+    are left out; infinite scores go to the first or the last part.
+    """
+    groups = list(groups)
+    v = F.col(score).cast("double")
+    src = non_null_keys(df, groups).where(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("_v"), F.col(label).cast("long").alias("_y"))
+    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+    span = src.groupBy(*groups).agg(F.coalesce(F.min(finite), F.lit(0.0)).alias("_lo"), F.coalesce(F.max(finite), F.lit(0.0)).alias("_hi"))
+    span = pin_small(span).frame
+    placed = src.join(span, groups) if groups else src.crossJoin(F.broadcast(span))  # one row
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    part = F.when(F.col("_v") >= F.col("_hi"), bins - 1).when(F.col("_v") <= F.col("_lo"), 0) \
+        .otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)))))
+    return placed.select(*groups, part.cast("int").alias("bin"), (F.col("_lo") + part * width).alias("low"), "_y") \
+        .groupBy(*groups, "bin").agg(F.first("low").alias("low"), F.count("*").alias("n"), F.sum("_y").alias("pos"))
+
+
+def _from_top(histogram: DataFrame, groups: Sequence[str]) -> DataFrame:
+    run = Window.partitionBy(*groups).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # a run has few bins
+    whole = Window.partitionBy(*groups)
+    return histogram.withColumns({"_n_run": F.sum("n").over(run), "_pos_run": F.sum("pos").over(run),
+                                  "_n_all": F.sum("n").over(whole), "_pos_all": F.sum("pos").over(whole)})
+
+
+def bounded_curve(histogram: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The curve of `pr_curve` at the lower ends of the bins of `score_histogram`, each point exact, ending at full recall.
+
+    Between two neighbouring points recall and population share of the full curve lie between theirs.
+    """
+    c = _from_top(histogram, groups)
+    kept = c.where(F.col("_pos_run") - F.col("pos") < F.col("_pos_all"))
+    return kept.select(*groups, F.col("low").alias("threshold"), safe_ratio(F.col("_pos_run"), F.col("_n_run")).alias("precision"),
+                       safe_ratio(F.col("_pos_run"), F.col("_pos_all")).alias("recall"), safe_ratio(F.col("_n_run"), F.col("_n_all")).alias("pct_population"))
+
+
+def auc_bounds(histogram: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, auc_low, auc_high): the exact ROC-AUC lies between them; they differ by the share of pairs within one bin."""
+    c = _from_top(histogram, groups)
+    neg = (F.col("n") - F.col("pos")).cast("double")
+    sure, open_ = F.sum(neg * (F.col("_pos_run") - F.col("pos"))), F.sum(neg * F.col("pos"))
+    pairs = F.first("_pos_all").cast("double") * (F.first("_n_all") - F.first("_pos_all"))
+    return c.groupBy(*groups).agg(F.when(pairs > 0, sure / pairs).alias("auc_low"), F.when(pairs > 0, (sure + open_) / pairs).alias("auc_high"))
+
+
+def best_points(results: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(metric, value, keys): the runs of a result table with the largest value of each metric, all ties; `keys` name a run and its parameters."""
+    keys = list(keys)
+    long = results.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, list(metrics), "metric", "value")
+    top = F.broadcast(long.groupBy("metric").agg(F.max("value").alias("value")))  # a row per metric
+    return long.join(top, ["metric", "value"]).select("metric", "value", *keys)
+
+
 def bias_crosstab(df: DataFrame, flag: str, label: str, attributes: Sequence[str],
                   groups: Sequence[str] = (), min_group_size: int = BIAS_MIN_SIZE) -> DataFrame:
     """Error rates per attribute value: fnr, for, fdr, tpr, tnr; missing where undefined."""

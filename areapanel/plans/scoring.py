@@ -116,3 +116,10 @@ def grid_results(scores: DataFrame, splits: DataFrame, keys: Sequence[str] = ("t
     """One result row per (model, parameters, split): year bounds, baseline, metrics at k, AUC."""
     runs = ["model_type", "parameters", "split_date"]
     return M.metrics_grid(scores, "score", label, keys, runs, ks).join(F.broadcast(split_bounds(splits)), "split_date")
+
+
+def grid_bias(scores: DataFrame, attributes: DataFrame, names: Sequence[str], keys: Sequence[str] = ("tract", "year"), label: str = "label",
+              runs: Sequence[str] = ("model_type", "parameters", "split_date"), top: float = 10.0, min_group_size: int = M.BIAS_MIN_SIZE) -> DataFrame:
+    """Error rates per attribute value of every grid point's flagged top share; `attributes` has the keys and the columns `names`."""
+    flagged = flag_first(scores, list(runs), M.score_rank("score", list(keys)), top)
+    return M.bias_crosstab(flagged.join(attributes.select(*keys, *names), list(keys)), "flag", label, names, runs, min_group_size)

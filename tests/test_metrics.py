@@ -77,3 +77,37 @@ def test_leaderboard_adds_both_baselines(values):
     got = {(r.model_type, r.split_date): r.p_at_10 for r in M.leaderboard(results, base, split_dates=["2013-01-01"]).collect()}
     assert got == pytest.approx({("RF", "2013-01-01"): 0.7, ("LR", "2014-01-01"): 0.0, ("Baseline", "2013-01-01"): 0.4,
                                  ("Random Baseline", "2013-01-01"): 0.1, ("Random Baseline", "2014-01-01"): 0.2})
+
+
+def test_histogram_bounds_hold_and_shrink(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("run"), F.rand(4).alias("s"), "id") \
+        .select("run", "s", (F.col("s") + F.rand(9) > 1).cast("int").alias("y"))
+    df = df.union(df.sparkSession.createDataFrame([("hot", None, 1), ("cold", float("nan"), 0)], "run string, s double, y int")).cache()
+    exact = {r.run: r.auc_roc for r in M.roc_auc(df.where("s is not null and not isnan(s)"), "s", "y", ["run"]).collect()}
+    gap = []
+    for bins in (4, 50, 1000):
+        histogram = M.score_histogram(df, "s", "y", ["run"], bins)
+        assert histogram.groupBy("run").count().agg(F.max("count")).first()[0] <= bins
+        for r in M.auc_bounds(histogram, ["run"]).collect():
+            assert r.auc_low - 1e-12 <= exact[r.run] <= r.auc_high + 1e-12
+            gap.append(r.auc_high - r.auc_low)
+    assert gap[0] > gap[2] > gap[4] and gap[4] < 0.002
+    points = M.bounded_curve(M.score_histogram(df, "s", "y", ["run"], 50), ["run"]).collect()
+    rows = [r for r in df.where("s is not null and not isnan(s)").collect()]
+    for p in points:
+        above = [r.y for r in rows if r.run == p.run and r.s >= p.threshold - 1e-12]
+        assert p.precision == pytest.approx(sum(above) / len(above))
+
+
+def test_histogram_of_one_score_infinite_scores_and_no_rows(values):
+    same = M.score_histogram(values([(2.0, 1), (2.0, 0)], "s double, y int"), "s", "y", bins=10)
+    assert [(r.bin, r.n, r.pos) for r in same.collect()] == [(9, 2, 1)]
+    far = M.score_histogram(values([(float("inf"), 1), (float("-inf"), 0), (0.0, 1), (1.0, 1)], "s double, y int"), "s", "y", bins=4)
+    assert {(r.bin, r.n) for r in far.collect()} == {(0, 2), (3, 2)}
+    assert M.auc_bounds(M.score_histogram(values([], "s double, y int"), "s", "y"), []).where("auc_low is not null").count() == 0
+
+
+def test_best_points_keep_ties_and_skip_missing(values):
+    df = values([("a", "p1", 0.5, None), ("b", "p2", 0.5, 0.2), ("c", "p3", 0.1, 0.9)], "model string, parameters string, f1 double, auc double")
+    got = {tuple(r) for r in M.best_points(df, ["f1", "auc"], ["model", "parameters"]).collect()}
+    assert got == {("f1", 0.5, "a", "p1"), ("f1", 0.5, "b", "p2"), ("auc", 0.9, "c", "p3")}
