@@ -8,12 +8,15 @@ vectors that are still competitive. Each task carries its queries' k best from b
 are merged by one ranking at the end.
 
 Blocks of vectors meet blocks of queries by a key join, so neither side is ever held whole. Vectors that are null, or hold
-a null or non-finite component, take no part; shorter vectors count as filled up with zeros. Products are exact in 64 bits.
+a null or non-finite component, take no part; shorter vectors count as filled up with zeros. Products are
+exact: where they could pass 62 bits, a block is searched with unbounded integers. A component or a score that a long cannot hold raises.
 Ties go to the smaller vec_id. Rows with equal vec_id and equal score are one candidate each.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +30,8 @@ SCALE = 256
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 PROBE = 8
+# Sums below this cannot wrap, the rounding of the estimate included.
+SAFE = float(1 << 62)
 BLOCKS = "part int, number int, n int, width int, ids binary, terms binary"
 
 
@@ -66,11 +71,20 @@ class Postings:
         self.values = np.frombuffer(terms, np.int64).reshape(width, n)
         self.low, self.high = self.values.min(1), self.values.max(1)
 
+    def unbounded(self) -> Postings:
+        """The same with integers of any size."""
+        wide = copy.copy(self)
+        wide.values, wide.low, wide.high = (v.astype(object) for v in (self.values, self.low, self.high))
+        return wide
+
 
 def max_score(block: Postings, vector: np.ndarray, own_id: int, best: tuple[np.ndarray, np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
     """The best (scores, ids) so far, with those of this block; sorted by falling score, then id."""
     width = min(len(vector), len(block.values))
     query_ = vector[:width]
+    most = np.maximum(np.abs(block.low[:width].astype(float)), np.abs(block.high[:width].astype(float)))
+    if (np.abs(query_.astype(float)) * most).sum() >= SAFE:
+        block, query_ = block.unbounded(), query_.astype(object)
     bound = np.maximum(query_ * block.low[:width], query_ * block.high[:width])
     terms = np.flatnonzero(query_)
     terms = terms[np.argsort(-np.abs(query_[terms] * (block.high[terms] - block.low[terms])), kind="stable")]
@@ -80,7 +94,7 @@ def max_score(block: Postings, vector: np.ndarray, own_id: int, best: tuple[np.n
     # essential: the fewest leading terms whose absence leaves less than the k-th best score
     enough = np.flatnonzero(left < goal) if full else np.zeros(0, np.int64)
     taken = max(1, int(enough[0])) if len(enough) else len(terms)
-    partial = np.zeros(block.values.shape[1], np.int64)
+    partial = np.zeros(block.values.shape[1], block.values.dtype)
     for d in terms[:taken]:
         partial += query_[d] * block.values[d]
     alive = np.arange(len(partial))
@@ -96,7 +110,7 @@ def max_score(block: Postings, vector: np.ndarray, own_id: int, best: tuple[np.n
     other = block.ids[alive] != own_id
     scores, ids = np.concatenate([best[0], partial[other]]), np.concatenate([best[1], block.ids[alive][other]])
     if len(scores) > 8 * top:  # far fewer before sorting; all that tie with the last stay
-        least = np.partition(scores, len(scores) - top)[len(scores) - top]
+        least = np.sort(scores)[-top] if scores.dtype == object else np.partition(scores, len(scores) - top)[len(scores) - top]
         scores, ids = scores[scores >= least], ids[scores >= least]
     order = np.lexsort((ids, -scores))[:top]
     return scores[order], ids[order]
@@ -129,8 +143,12 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and floor(scale * component) of vectors without null or non-finite components."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(finite)
-    return usable.select(F.col("vec_id").cast("long").alias("vec_id"),
-                         F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("values"))
+
+    def scaled(x):
+        value = x.cast("double") * scale
+        return F.when(F.abs(value) < float(1 << 63), F.floor(value).cast("long")).otherwise(
+            F.raise_error(F.lit("a scaled component passes 64 bits")).cast("long"))
+    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", scaled).alias("values"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:

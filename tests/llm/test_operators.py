@@ -223,6 +223,35 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == sorted(expected)
 
 
+def ranking(found):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect())
+
+
+def test_top_k_is_exact_for_large_components_and_raises_beyond_a_long(spark):
+    def search(rows, kind="array<double>"):
+        vectors = top_k.whole_vectors(frame(spark, rows, f"vec_id long, embedding {kind}"))
+        return ranking(top_k.top_k(vectors, vectors.where("vec_id % 50 = 0")))
+
+    # terms of opposite signs: each product passes 62 bits, their sum does not
+    big = 2.0 ** 25
+    rows = [(50, [big, big]), *[(i, [big, -big + i]) for i in range(1, 9)], (9, [1.0, 1.0])]
+    exact = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    scores = sorted((-sum(a * b for a, b in zip(exact[50], exact[i])), i) for i in exact if i != 50)[:5]
+    assert search(rows) == [(50, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+    for wrong in ([(50, [1e17, 1.0]), (1, [2.0, 1.0])], [(50, [1e15, 1.0]), (1, [1e15, 2.0])]):
+        with pytest.raises(Exception, match="passes 64 bits|Overflow|too large|too big"):
+            search(wrong)
+
+
+def test_top_k_of_no_vectors_no_queries_and_repeated_rows(spark):
+    none = top_k.whole_vectors(frame(spark, [], "vec_id long, embedding array<float>"))
+    assert top_k.top_k(none, none).count() == 0
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (50, [1.0, 0.0]), (3, None)]
+    vectors = top_k.whole_vectors(frame(spark, rows, "vec_id long, embedding array<float>"))
+    assert top_k.top_k(vectors, vectors.where("vec_id = 7")).count() == 0
+    assert ranking(top_k.top_k(vectors, vectors.where("vec_id % 50 = 0"))) == [(50, 1, 1, 65536), (50, 2, 1, 65536)]
+
+
 def test_chat_windows_read_back(spark):
     turns = [(1, 0, "system", "be <kind> \\ now"), *[(1, t, "user" if t % 2 else "assistant", f"said </turn> {t} " + "w " * (40 * (t % 3))) for t in range(1, 12)],
              (2, 0, "assistant", None), (3, None, None, "no role"), (3, 1, "assistant", "long " * 2000), *chat.OWN_ROWS]
