@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from areapanel.catalog.base import query, table
+from areapanel.catalog.base import SQL, query, table
+from areapanel.operators import models as ML
 from areapanel.operators import trees as T
+from areapanel.plans import grid_models as G
 
 COLUMNS = {"returned": "l_returnflag = 'R'", "accepted": "l_returnflag = 'A'", "still_open": "l_linestatus = 'O'", "many": "l_quantity > 25", "very_many": "l_quantity > 40",
            "few": "l_quantity <= 10", "discounted": "l_discount > 0.05", "taxed": "l_tax > 0.02", "highly_taxed": "l_tax > 0.06", "first_line": "l_linenumber = 1",
@@ -122,3 +124,68 @@ FROM part GROUP BY feature HAVING sum(part) > 0""")
 def forest_importance(spark, folder):
     model = T.grow(lines(spark, folder), list(COLUMNS), keys=KEYS, **FOREST)
     return T.importances(model).withColumn("importance", F.round("importance", 6))
+
+
+@query("top_forest_features", f"SELECT * FROM ({SQL['forest_importance']}) ORDER BY importance DESC, feature LIMIT 5")
+def top_forest_features(spark, folder):
+    model = T.grow(lines(spark, folder), list(COLUMNS), keys=KEYS, **FOREST)
+    found = T.importances(model).withColumn("importance", F.round("importance", 6))
+    return found.orderBy(F.desc("importance"), "feature").limit(5)
+
+
+_WITH_LABEL = SQL["tree_scores"].replace("scores AS (SELECT l_orderkey", "scores AS (SELECT i, l_orderkey").replace(
+    "SELECT * FROM scores", "SELECT x.l_orderkey, x.l_linenumber, y AS label, score FROM scores JOIN x USING (i)")
+
+
+@query("run_model", _WITH_LABEL)
+def run_model(spark, folder):
+    """One model by its name and parameters."""
+    df = lines(spark, folder)
+    scored = ML.run_model(df.where(TRAIN), df.where(TEST), "DT", DEEP, list(COLUMNS), KEYS)
+    return scored.select(*KEYS, "label", F.round("score", 9).alias("score"))
+
+
+GRID = {"DT": {"criterion": ["gini", "entropy"], "max_depth": [2, 4]},
+        "B": {"n_estimators": [3], "criterion": ["entropy"], "max_depth": [3]},
+        "RF": {"n_estimators": [4], "criterion": ["gini"], "max_depth": [4], "max_features": ["log2"], "min_samples_split": [10]}}
+SPLITS = {"1996-01-01": "l_orderkey % 3 <> 0", "1997-01-01": "l_orderkey % 3 <> 1"}
+
+
+def grid_table(spark, folder):
+    df = lines(spark, folder)
+    parts = [df.where(rows).select(F.lit(day).alias("split_date"), F.lit("train").alias("role"), "*") for day, rows in SPLITS.items()]
+    return G.grid_models(parts[0].unionByName(parts[1]), GRID, list(COLUMNS), KEYS)
+
+
+def _grid_sql(body: str) -> str:
+    """`body` for every grid point and split, beside the names of both."""
+    out = []
+    for day, rows in SPLITS.items():
+        for name in GRID:
+            for params in ML.grid_points(GRID[name]):
+                how = T.fit_params(name, {**ML.DEFAULTS[name], **params})
+                looked_at = None if how.get("max_features") is None else T.feature_count(how["max_features"], len(COLUMNS))
+                ctes = grown_sql(how["criterion"], how["max_depth"], how.get("trees", 1), looked_at, how["min_samples_split"], how.get("bootstrap", False),
+                                 seed=ML.SEED, rows=rows)
+                out.append(f"SELECT '{name}' AS model_type, '{ML.params_text(params)}' AS parameters, '{day}' AS split_date, * "
+                           f"FROM (WITH {', '.join(ctes)} {body})")
+    return " UNION ALL ".join(out)
+
+
+@query("grid_nodes", _grid_sql(f"SELECT tree::INT AS tree, path, n::BIGINT AS n, w::BIGINT AS w, p::BIGINT AS p, {NAMES}[feature + 1] AS feature, gain FROM nodes"))
+def grid_nodes(spark, folder):
+    return grid_table(spark, folder).select(*G.POINT, "tree", "path", "n", "w", "p", "feature", "gain")
+
+
+_IMPORTANCE = f""", won AS (SELECT tree, feature, sum(gain * w / all_w) AS won FROM nodes
+    JOIN (SELECT tree, w::DOUBLE AS all_w FROM nodes WHERE depth = 0) USING (tree) WHERE feature IS NOT NULL GROUP BY tree, feature),
+  part AS (SELECT feature, won / nullif(sum(won) OVER (PARTITION BY tree), 0) AS part FROM won),
+  named AS (SELECT {NAMES}[feature + 1] AS feature, sum(part) / (SELECT count(*) FROM nodes WHERE depth = 0 AND feature IS NOT NULL) AS v
+    FROM part GROUP BY feature HAVING sum(part) > 0)
+SELECT feature, round(v, 6) AS importance FROM named ORDER BY round(v, 12) DESC, feature LIMIT 5"""
+
+
+@query("grid_importance", _grid_sql(_IMPORTANCE))
+def grid_importance(spark, folder):
+    """The five columns of most weight in every grid point of every split."""
+    return G.grid_importance(grid_table(spark, folder), 5).withColumn("importance", F.round("importance", 6))
