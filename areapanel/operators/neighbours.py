@@ -118,6 +118,11 @@ def knn_score(train: DataFrame, test: DataFrame, keys: Sequence[str], features:
             .groupBy(*keys, "_d").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
 
     # At most k distances per row and block are left here.
+    return mean_of_nearest(near, keys, k, weights)
+
+
+def mean_of_nearest(near: DataFrame, keys: Sequence[str], k: int, weights: str = "uniform") -> DataFrame:
+    """(keys, score) of near (keys, _d, _n, _s): neighbours and label sum at each distance, every distance once."""
     w = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(w), F.lit(0.0))
     taken = near.withColumn("_before", before).where(F.col("_before") < k) \
