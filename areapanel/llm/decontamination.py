@@ -250,7 +250,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
     return from_struct(keyed.join(bad, "text_key", "left_anti"), "doc", docs.columns)
 
 
-@query("op7_positional_index_decontamination")
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = f"coalesce(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+@query("op7_positional_index_decontamination", f"""
+WITH doc AS (SELECT row_number() OVER () AS i, doc_id, {WORDS_SQL} AS words FROM documents),
+item AS (SELECT item_id::VARCHAR AS item_id, words, least({WINDOW}, len(words)) AS n FROM (SELECT item_id, {WORDS_SQL} AS words FROM benchmark) WHERE len(words) > 0),
+sought AS (SELECT DISTINCT item_id, n, array_to_string(words[pos:pos + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS pos FROM item)),
+gram AS (SELECT i, n, pos, array_to_string(words[pos:pos + n - 1], ' ') AS gram
+  FROM (SELECT i, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM doc, (SELECT DISTINCT n FROM sought) WHERE len(words) >= n)),
+found AS (SELECT i, n, pos, item_id FROM gram JOIN sought USING (n, gram)),
+hit AS (SELECT i, count(DISTINCT place) AS n_hit FROM (SELECT i, unnest(range(pos, pos + n)) AS place FROM found) GROUP BY i),
+held AS (SELECT i, count(*) AS n_items, coalesce(string_agg(item_id, ',' ORDER BY item_id), '') AS ids FROM (SELECT DISTINCT i, item_id FROM found) GROUP BY i)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM doc LEFT JOIN hit USING (i) LEFT JOIN held USING (i)""")
 def op7(spark, folder):
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

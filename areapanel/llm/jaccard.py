@@ -416,6 +416,20 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return from_struct(kept.dropDuplicates(["id", "key"]), "doc", docs.columns)
 
 
-@query("op10_ngram_jaccard_join")
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op10_ngram_jaccard_join", f"""
+WITH RECURSIVE words AS (SELECT doc_id, text, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+word_list AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY w) AS node, doc_id, w FROM words),
+shingle AS MATERIALIZED (SELECT DISTINCT node, array_to_string(w[pos:pos + 4], ' ') AS s
+  FROM (SELECT node, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS pos FROM (SELECT DISTINCT node, w FROM word_list) WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT node, count(*) AS n FROM shingle GROUP BY node),
+link AS MATERIALIZED (SELECT a, b FROM (SELECT x.node AS a, y.node AS b, count(*) AS shared FROM shingle x JOIN shingle y ON x.s = y.s AND x.node <> y.node GROUP BY ALL)
+  JOIN size sa ON sa.node = a JOIN size sb ON sb.node = b WHERE 100 * shared >= 80 * (sa.n + sb.n - shared)),
+reach AS (SELECT node AS a, node AS b FROM size UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least_id AS (SELECT reach.a AS node, min(doc_id) AS component_id FROM reach JOIN word_list ON word_list.node = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id
+FROM word_list LEFT JOIN size USING (node) LEFT JOIN least_id USING (node)""")
 def op10(spark, folder):
-    return jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "node")
+    return jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
