@@ -6,8 +6,11 @@ lines say, a line counting less the more nodes it has, and wants to move to the
 weight. A shard takes in what its free capacity and the wishes to leave it allow; which nodes move is drawn by a hash, so
 that a round needs one sum per shard and no ranking.
 
-Last, every shard is filled to the same number of bytes: each label's documents, large ones first and equal texts
-together, stay up to the quota; the small ones beyond it go, in order, to the shards with room. A group of equal texts stays in one piece, but for the
+Lines of fewer than `LINE_BYTES` bytes are no links. The rounds end when no node wants to move, after `ROUNDS` at most.
+
+Last, every shard is filled to the same number of bytes: each label's documents stay up to the quota, those larger than `LARGE` of a shard first,
+then the nodes with a link inside their label, then the others, larger ones first and equal texts together; what lies
+beyond the quota goes, in order, to the shards with room. So mostly small documents without links leave. A group of equal texts stays in one piece, but for the
 few pieces at shard ends; a group larger than a shard fills several. Shards differ by about one of the smaller documents.
 
 Null texts are one group of size 1 each. Rows with equal id and text are told apart by their place alone.
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 from areapanel.llm.tables import as_struct, query, running_totals, stage, table
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = 8
 SLACK = 0.05
 LINE_BYTES = 32
+LARGE = 0.04
 
 
 def uniform(*columns) -> Column:
@@ -68,6 +72,13 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int, slac
     return labels
 
 
+def linked_inside(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node) of the nodes that share a line with another node of their label."""
+    placed = links.join(labels.select("node", "label"), "node").select("link", "node", "label")
+    several = placed.groupBy("link", "label").agg(F.count("*").alias("n")).where("n > 1").select("link", "label")
+    return placed.join(several, ["link", "label"]).select("node").distinct()
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, keep: tuple = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the columns `keep` of docs (doc_id, text)."""
     clash = set(keep) & {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
@@ -79,10 +90,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
                               (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
                               F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
     nodes = sizes.groupBy("node").agg(F.sum("size").alias("bytes"))
-    labels = propagate(nodes, line_links(rows.select("node", "text")), shards, rounds, slack)
-    labelled = sizes.join(labels.select("node", "label"), "node").withColumn("one", F.lit(1))
-
-    placed = stage(running_totals(labelled, [F.col("label"), F.desc("size"), F.col("node"), F.col("doc_id")], {"before": "size"}), "placed")
+    links = line_links(rows.select("node", "text"))
+    labels = propagate(nodes, links, shards, rounds, slack)
+    tied = linked_inside(labels, links).withColumn("tied", F.lit(True))
+    labels = stage(labels.select("node", "label").join(tied, "node", "left"), "tied")
+    labelled = sizes.join(labels, "node").withColumn("one", F.lit(1))
+    large = LARGE * (sizes.agg(F.sum("size")).first()[0] or 0) / shards
+    group = F.when(F.col("size") > large, 0).when(F.col("tied"), 1).otherwise(2)
+    order = [F.col("label"), group, F.desc("size"), F.col("node"), F.col("doc_id")]
+    placed = stage(running_totals(labelled, order, {"before": "size"}), "placed")
     by_label = {r.label: r for r in placed.groupBy("label").agg(F.sum("size").alias("bytes"), F.min("before").alias("start")).collect()}
     quota = sum(r.bytes for r in by_label.values()) / shards
     start = F.create_map(*[F.lit(x) for s, r in by_label.items() for x in (s, r.start)]) if by_label else F.lit(None)

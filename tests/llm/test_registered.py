@@ -129,3 +129,18 @@ def test_op9_reads_back_turns_and_loss(spark):
         assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(every.encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["formatted_chars"] > sum(len(t) for _, t in own)
+
+
+def test_op1_lowers_the_share_of_linked_pairs_apart(spark):
+    from areapanel.llm.sharding import shard_documents
+    # thirty families of ten documents that share long lines, beside as many lone documents
+    rng = np.random.default_rng(5)
+    rows = [(f * 10 + i, "\n".join([f"a line of family {f} that all of its members hold word by word", f"own {rng.integers(1 << 40)} text {i}"])) for f in range(30) for i in range(10)]
+    rows += [(1000 + i, f"lone text number {i} without any line that another one holds, {'x ' * int(rng.integers(20))}") for i in range(300)]
+    out = {r.doc_id: r for r in shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()}
+    pairs = [(out[f * 10 + i].shard, out[f * 10 + j].shard) for f in range(30) for i in range(10) for j in range(i)]
+    assert np.mean([a != b for a, b in pairs]) < 0.25  # three in four by chance
+    size = Counter()
+    for r in out.values():
+        size[r.shard] += r.size
+    assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in out.values())
