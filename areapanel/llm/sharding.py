@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from areapanel.llm.tables import as_struct, query, running_totals, stage, table
 
 SHARDS = 16
-ROUNDS = 8
+ROUNDS = 4
 SLACK = 0.05
 LINE_BYTES = 32
 LARGE = 0.04
