@@ -11,6 +11,9 @@ gains nothing is still made. Gains are compared to nine digits, ties go to the f
 many columns in an order drawn for it, and on to the first one that parts it. Bootstrap weights are drawn per row and tree from a Poisson law of mean 1,
 by a hash of the row's keys. Leaves keep their share of positives; a forest's score is the mean of its trees' shares.
 
+Every row is read twice: once for the thresholds (columns of only 0 and 1 need no quantiles), once to be collapsed. The draws of several trees are added up side by side
+while rows collapse, so no row is copied for its trees before that.
+
 Missing labels are left out; missing predictors are in the lowest bin. Without training rows there is no node and scores are missing.
 """
 
@@ -28,6 +31,8 @@ from areapanel.session import stage
 BINS = 32
 DIGITS = 9
 SEED = 100
+TREES_A_ROW = 8
+FEW_CUTS = 4
 #: Chance that a draw of the Poisson law with mean 1 is at most k, for k = 0, 1, ...
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
@@ -44,11 +49,18 @@ class TreeModel:
 
 
 def split_points(df: DataFrame, predictors: Sequence[str], bins: int = BINS) -> list[list[float]]:
-    """Thresholds of each predictor; one pass, bins x columns numbers reach the driver."""
-    marks = [i / bins for i in range(bins + 1)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), marks, 100 * bins).alias(f"c{i}") for i, c in enumerate(predictors)]).first()
-    values = [sorted(set(row[f"c{i}"] or [])) for i in range(len(predictors))]
-    return [[(a + b) / 2 for a, b in zip(v, v[1:])] for v in values]
+    """Thresholds of each predictor; bins x columns numbers reach the driver. Quantiles are taken of columns with other values than 0 and 1 only."""
+    number = {c: F.col(c).cast("double") for c in predictors}
+    ends = [(F.min(v), F.max(v), F.count_if((v != 0) & (v != 1))) for v in number.values()]
+    row = df.agg(*[e.alias(f"{k}{i}") for i, three in enumerate(ends) for k, e in zip("abo", three)]).first()
+    values = {c: {row[f"a{i}"], row[f"b{i}"]} - {None} for i, c in enumerate(predictors)}
+    other = [c for i, c in enumerate(predictors) if row[f"o{i}"]]
+    if other:
+        marks = [i / bins for i in range(bins + 1)]
+        row = df.agg(*[F.percentile_approx(number[c], marks, 100 * bins).alias(f"c{i}") for i, c in enumerate(other)]).first()
+        values |= {c: set(row[f"c{i}"] or []) for i, c in enumerate(other)}
+    in_order = [sorted(values[c]) for c in predictors]
+    return [[(a + b) / 2 for a, b in zip(v, v[1:])] for v in in_order]
 
 
 def bins_of(predictors: Sequence[str], thresholds: Sequence[Sequence[float]]) -> Column:
@@ -57,19 +69,41 @@ def bins_of(predictors: Sequence[str], thresholds: Sequence[Sequence[float]]) ->
         value = F.col(name).cast("double")
         if not cuts:
             return F.lit(0)
+        if len(cuts) <= FEW_CUTS:
+            return F.coalesce(sum(((value > F.lit(float(c))).cast("int") for c in cuts[1:]), (value > F.lit(float(cuts[0]))).cast("int")), F.lit(0))
         return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: value > c)), F.lit(0))
     return F.array(*[one(c, t) for c, t in zip(predictors, thresholds)])
 
 
-def drawn_number(*parts: Column | str) -> Column:
-    """A number from 0 to 1 from the text of the parts joined by colons."""
-    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-
-
 def bootstrap_weight(seed: int, tree: Column, key: Column) -> Column:
-    u = drawn_number(str(seed), tree.cast("string"), key)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: u >= c)).cast("long")
+    """How many chances of POISSON are at most the row's number: the first eight hexadecimal digits of an md5, over 2^32.
+
+    Texts of such digits compare as their numbers do, so the digest is worked out once and needs no conversion.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), tree.cast("string"), key).cast("binary"))
+    marks = [f"{math.ceil(c * 2 ** 32):08x}" for c in POISSON]
+    return sum(((digest >= F.lit(m)).cast("long") for m in marks[1:]), (digest >= F.lit(marks[0])).cast("long"))
+
+
+def collapsed(train: DataFrame, bins: Column, label: str, keys: Sequence[str], trees: int, bootstrap: bool, seed: int) -> DataFrame:
+    """(tree, bins, n, w, p): rows of weight, their weights and those of positive rows, for every tree and distinct vector."""
+    width = min(trees, TREES_A_ROW) if bootstrap else 1
+    y, key = F.col(label).cast("long"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    rows = train.select(bins.alias("bins"), y.alias("y"), key.alias("key"))
+    if trees > width and bootstrap:
+        rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(trees - 1), F.lit(width))))
+    else:
+        rows = rows.withColumn("first", F.lit(0))
+    rows = rows.select("first", "bins", "y", *[(bootstrap_weight(seed, F.col("first") + k, F.col("key")) if bootstrap else F.lit(1).cast("long")).alias(f"w{k}")
+                                               for k in range(width)])
+    sums = rows.groupBy("first", "bins", "y").agg(*[e for k in range(width) for e in (F.count_if(F.col(f"w{k}") > 0).alias(f"n{k}"), F.sum(f"w{k}").alias(f"w{k}"))])
+    if bootstrap:
+        tree = F.explode(F.array(*[F.struct((F.col("first") + k).alias("tree"), F.col(f"n{k}").alias("n"), F.col(f"w{k}").alias("w")) for k in range(width)]))
+        sums = sums.select("bins", "y", tree.alias("t")).select("t.*", "bins", "y").where((F.col("w") > 0) & (F.col("tree") < trees))
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+        sums = sums.select(every.alias("tree"), "bins", "y", F.col("n0").alias("n"), F.col("w0").alias("w"))
+    return sums.groupBy("tree", "bins").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p"))
 
 
 def impurity(p: Column, w: Column, criterion: str) -> Column:
@@ -132,13 +166,7 @@ def grow(train: DataFrame, predictors: Sequence[str], label: str = "label", keys
         raise ValueError("bootstrap draws need the rows' keys")
     train = train.where(F.col(label).isNotNull())
     thresholds = split_points(train, predictors, bins)
-    y = F.col(label).cast("long")
-    rows = train.select(bins_of(predictors, thresholds).alias("bins"), y.alias("y"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"))
-    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    w = bootstrap_weight(seed, F.col("tree"), F.col("key")) if bootstrap else F.lit(1).cast("long")
-    rows = rows.select("tree", "bins", "y", w.alias("w")).where("w > 0")
-    rows = stage(rows.groupBy("tree", "bins").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p"))
-                 .withColumn("path", F.lit("")), "tree-rows")
+    rows = stage(collapsed(train, bins_of(predictors, thresholds), label, keys, trees, bootstrap, seed).withColumn("path", F.lit("")), "tree-rows")
     looked_at = feature_count(max_features, len(predictors))
     levels, depth = None, 0
     while True:

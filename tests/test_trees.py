@@ -1,9 +1,11 @@
 """Table trees against a small recursive version."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from areapanel.operators import models as ML
 from areapanel.operators import trees as T
@@ -93,3 +95,34 @@ def test_edges_of_trees(spark, rows):
         T.grow(df, ["a"], bootstrap=True)
     with pytest.raises(ValueError):
         T.grow(df, ["a"], criterion="other")
+
+
+def test_draws_are_hashed_once_and_follow_the_poisson_chances(spark):
+    """A row's digest is worked out once, outside any function over an array, and counts as the chances at most its number."""
+    df = spark.range(500).withColumn("key", F.col("id").cast("string"))
+    weight = T.bootstrap_weight(7, F.lit(3), F.col("key"))
+    drawn = df.select("key", weight.alias("w"))
+    assert "lambda" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    for r in drawn.collect():
+        u = int(hashlib.md5(f"7:3:{r.key}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        assert r.w == sum(u >= c for c in T.POISSON)
+
+
+def test_collapsed_rows_of_many_trees(rows, monkeypatch):
+    """Trees drawn side by side and in several slices get the weights of trees drawn one at a time; 0/1 columns need no quantiles."""
+    df, x, y = rows
+    cuts = T.split_points(df, ["a", "b", "c"])
+    assert cuts == [[0.5], [0.5, 1.5, 2.5, 3.5, 4.5], [0.5]]
+    got = {(r.tree, tuple(r.bins)): (r.n, r.w, r.p) for r in T.collapsed(df, T.bins_of(["a", "b", "c"], cuts), "label", ["id"], 11, True, 5).collect()}
+    want = {}
+    for tree in range(11):
+        for i, (v, label) in enumerate(zip(x, y)):
+            u = int(hashlib.md5(f"5:{tree}:{i}".encode()).hexdigest()[:8], 16) / 2 ** 32
+            w = sum(u >= c for c in T.POISSON)
+            if w:
+                n, all_w, p = want.get((tree, tuple(map(int, v))), (0, 0, 0))
+                want[tree, tuple(map(int, v))] = (n + 1, all_w + w, p + w * int(label))
+    assert got == want
+    monkeypatch.setattr(T.F, "percentile_approx", None)
+    assert T.split_points(df, ["a", "c"]) == [[0.5], [0.5]]
+    assert T.split_points(df.where("label > 5"), ["a"]) == [[]]
