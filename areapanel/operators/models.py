@@ -8,12 +8,14 @@ same majority class, which leaves one node when positives are rare.
 their depth is what was asked for and their leaves keep their shares. `estimator` still offers MLlib's entropy trees.
 
 A forest of more than `BATCH_TREES` trees is fitted and scored by `run_model` in batches, so the driver holds the trees
-of a few batches at a time; its score is the mean over all trees.
+of a few batches at a time; its score is the mean over all trees. Where all predictors are 0 or 1 and the rows share few
+vectors, it is grown from the distinct vectors by the same law (`score_few_vectors`), whose work does not grow with the rows.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from itertools import product
@@ -43,6 +45,8 @@ SEED = 100
 SEED_STEP = 1_000_003
 BATCH_TREES = 100
 BATCHES_AT_ONCE = 4
+ROWS_A_VECTOR = 10
+MAX_DRAWS = 50_000_000
 MAX_TREE_DEPTH = 30  # MLlib accepts no deeper tree.
 ROWS_PER_PARTITION = 50_000
 TOLERANCE = 1e-4
@@ -263,6 +267,30 @@ def score_in_batches(train: DataFrame, test: DataFrame, name: str, params: Mappi
     return rows.join(means.withColumn("score", _unbalanced(F.col("score"), positives)), "_row").drop("_row")
 
 
+def score_few_vectors(train: DataFrame, test: DataFrame, name: str, params: Mapping, predictors: Sequence[str],
+                      label: str = "label") -> DataFrame | None:
+    """The test rows with the mean score of all trees, grown from the distinct vectors of 0/1 predictors; None if they are other or many.
+
+    Draws, splits and leaves follow the law of MLlib's forest over single rows.
+    """
+    p = {**DEFAULTS[name], **params}
+    vector = F.array(*[F.col(c).cast("double") for c in predictors])
+    rows = train.select(vector.alias("v"), F.col(label).cast("long").alias("y"))
+    groups = stage(rows.groupBy("v").agg(F.count("*").alias("m"), F.sum("y").alias("q"), F.count("y").alias("labelled")), "vectors")
+    found = groups.agg(F.count("*").alias("vectors"), F.sum("m").alias("rows"), F.count_if(F.col("m") != F.col("labelled")).alias("unlabelled"),
+                       F.count_if(~F.forall("v", lambda x: F.coalesce(x.isin(0.0, 1.0), F.lit(False)))).alias("other")).first()
+    if not found.vectors or found.other or found.unlabelled or found.vectors * ROWS_A_VECTOR > found.rows or found.vectors * p["n_estimators"] > MAX_DRAWS:
+        return None
+    n = len(predictors)
+    strategy = "all" if name == "B" else p.get("max_features") or "sqrt"
+    roots = {"all": n, "sqrt": math.ceil(math.sqrt(n)), "log2": max(1, math.ceil(math.log2(n)))}
+    if strategy not in roots:
+        return None
+    bins = F.transform("v", lambda x: x.cast("int"))
+    model = trees.grow_like_mllib(groups.select(bins.alias("bins"), "m", "q"), predictors, p["n_estimators"], _depth(p), roots[strategy], _leaf_size(p), SEED)
+    return trees.score(model, test)
+
+
 def fit_model(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], label: str = "label"):
     """Fit one model; the assembled rows are kept while it iterates over them."""
     return fit_balanced(train, name, params, predictors, label)[0]
@@ -288,6 +316,9 @@ def run_model(train: DataFrame, test: DataFrame, name: str, params: Mapping, pre
         model = trees.grow(train, predictors, label, keys, seed=SEED, **trees.fit_params(name, {**DEFAULTS[name], **params}))
         return trees.score(model, test).withColumn("score", F.coalesce("score", F.lit(0.0)))
     if len(tree_batches(name, params)) > 1:
+        few = score_few_vectors(train, test, name, params, predictors, label)
+        if few is not None:
+            return few
         return score_in_batches(train, test, name, params, predictors, label)
     model, positives = fit_balanced(train, name, params, predictors, label)
     return scored(name, model, assemble(test, predictors), positives)

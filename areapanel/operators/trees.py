@@ -33,6 +33,7 @@ DIGITS = 9
 SEED = 100
 TREES_A_ROW = 8
 FEW_CUTS = 4
+DRAWN_AT_ONCE = 100
 #: Chance that a draw of the Poisson law with mean 1 is at most k, for k = 0, 1, ...
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
@@ -126,11 +127,21 @@ def feature_count(max_features: str | int | None, n: int) -> int:
     return max(1, min(int(max_features), n))
 
 
-def _splits(rows: DataFrame, n_features: int, criterion: str, looked_at: int, min_split: int, seed: int) -> DataFrame:
-    """Best split of every node that may be split: tree, path, feature, bin, gain."""
+def _splits(rows: DataFrame, n_features: int, criterion: str, looked_at: int, min_split: int, seed: int, min_leaf: int | None = None) -> DataFrame:
+    """Best split of every node that may be split: tree, path, feature, bin, gain.
+
+    With `min_leaf` the rules are MLlib's: both sides weigh that much, the split gains something, and a node looks at its drawn columns only.
+    """
     node = ["tree", "path"]
+
+    def place(f: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("path"), f.cast("string")).cast("binary"))
     totals = rows.groupBy(*node).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("p").alias("p"))
     totals = totals.where((F.col("n") >= min_split) & (F.col("p") > 0) & (F.col("p") < F.col("w")))
+    if looked_at < n_features:
+        # drawn once a node, not once a cut
+        order = F.array_sort(F.array(*[place(F.lit(f)) for f in range(n_features)]))
+        totals = totals.withColumn("limit", order[looked_at - 1])
     hist = rows.select(*node, F.posexplode("bins").alias("feature", "bin"), "w", "p").groupBy(*node, "feature", "bin").agg(
         F.sum("w").alias("bw"), F.sum("p").alias("bp"))
     run = Window.partitionBy(*node, "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -140,14 +151,15 @@ def _splits(rows: DataFrame, n_features: int, criterion: str, looked_at: int, mi
     gain = impurity(F.col("p"), F.col("w"), criterion) - (F.col("lw") / F.col("w")) * impurity(F.col("lp"), F.col("lw"), criterion) \
         - (rw / F.col("w")) * impurity(rp, rw, criterion)
     cuts = cuts.withColumn("gain", F.round(gain, DIGITS))
+    if min_leaf is not None:
+        cuts = cuts.where((F.col("lw") >= min_leaf) & (rw >= min_leaf) & (F.col("gain") > 0))
     best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b")))
     if looked_at >= n_features:
         return cuts.groupBy(*node).agg(best.alias("s")).select(*node, (-F.col("s.f")).alias("feature"), (-F.col("s.b")).alias("bin"), F.col("s.gain").alias("gain"))
 
-    def place(f: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("path"), f.cast("string")).cast("binary"))
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), place))
-    cuts = cuts.withColumns({"place": place(F.col("feature")), "limit": order[looked_at - 1]})
+    cuts = cuts.withColumn("place", place(F.col("feature")))
+    if min_leaf is not None:
+        cuts = cuts.where(F.col("place") <= F.col("limit"))
     drawn = F.col("place") <= F.col("limit")
     own = F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
     beyond = F.struct("place", (-F.col("gain")).alias("g"), F.col("feature").alias("f"), F.col("bin").alias("b"))
@@ -167,13 +179,44 @@ def grow(train: DataFrame, predictors: Sequence[str], label: str = "label", keys
     train = train.where(F.col(label).isNotNull())
     thresholds = split_points(train, predictors, bins)
     rows = stage(collapsed(train, bins_of(predictors, thresholds), label, keys, trees, bootstrap, seed).withColumn("path", F.lit("")), "tree-rows")
-    looked_at = feature_count(max_features, len(predictors))
+    return _grown(rows, predictors, thresholds, trees, criterion, max_depth, feature_count(max_features, len(predictors)), min_samples_split, seed)
+
+
+def grow_like_mllib(groups: DataFrame, predictors: Sequence[str], trees: int, max_depth: int, looked_at: int, min_leaf: int, seed: int = SEED) -> TreeModel:
+    """Forest of MLlib's rules over 0/1 columns from `groups` (bins, m, q): distinct vectors, their rows and their positive rows.
+
+    MLlib draws a Poisson weight of mean 1 for every row and tree; those of m equal rows add up to one of mean m, which is drawn here at once.
+    The work follows vectors x trees, not rows x trees. A draw is seeded by the vector and its slice of trees, so partitioning does not matter.
+    """
+    spark = groups.sparkSession
+    tasks = groups.select("bins", "m", "q", F.explode(F.sequence(F.lit(0), F.lit(trees - 1), F.lit(DRAWN_AT_ONCE))).alias("first"))
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+        for part in batches:
+            for bins, m, q, first in zip(part["bins"], part["m"], part["q"], part["first"]):
+                rng = np.random.default_rng([seed, int(first), *[int(b) for b in bins]])
+                some = min(DRAWN_AT_ONCE, trees - first)
+                p = rng.poisson(q, some)
+                w = p + rng.poisson(m - q, some)
+                yield pd.DataFrame({"tree": np.arange(first, first + some, dtype="int32"), "bins": [list(bins)] * some, "n": w, "w": w, "p": p, "path": ""})
+
+    parts = max(2, spark.sparkContext.defaultParallelism)
+    drawn = tasks.repartition(parts, "bins", "first").mapInPandas(draw, "tree int, bins array<int>, n long, w long, p long, path string")
+    rows = stage(drawn.where("w > 0"), "tree-rows")
+    return _grown(rows, list(predictors), [[0.5]] * len(predictors), trees, "gini", max_depth, looked_at, 2, seed, min_leaf)
+
+
+def _grown(rows: DataFrame, predictors: list[str], thresholds: list[list[float]], trees: int, criterion: str, max_depth: int | None, looked_at: int,
+           min_samples_split: int, seed: int, min_leaf: int | None = None) -> TreeModel:
+    """Levels of all trees from collapsed rows."""
     levels, depth = None, 0
     while True:
         totals = rows.groupBy("tree", "path").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("p").alias("p"))
         may_split = max_depth is None or depth < max_depth
         if may_split:
-            splits = _splits(rows, len(predictors), criterion, looked_at, min_samples_split, seed)
+            splits = _splits(rows, len(predictors), criterion, looked_at, min_samples_split, seed, min_leaf)
         else:
             splits = rows.sparkSession.createDataFrame([], "tree int, path string, feature int, bin int, gain double")
         level = totals.join(splits, ["tree", "path"], "left").select(

@@ -180,3 +180,19 @@ def test_entropy_forests_have_all_their_trees(separable, name):
     assert fit.getBootstrap() and fit.getFeatureSubsetStrategy() == ("all" if name == "B" else "sqrt")
     out = ML.run_model(train, test, name, params, PREDICTORS, ["id"])
     assert M.roc_auc(out, "score", "label").first().auc_roc > 0.75
+
+
+def test_large_forests_over_few_vectors_follow_the_law_of_mllib(values, monkeypatch):
+    """Eight vectors of many rows: no fit over the rows, and the scores are those of MLlib's batches but for the draws."""
+    rng = random.Random(3)
+    rows = [(i, *[float(v) for v in x], int(rng.random() < 0.1 + 0.2 * x[0] + 0.3 * x[1] * x[2])) for i in range(1200) for x in [(i % 2, i // 2 % 2, i // 4 % 3 % 2)]]
+    df = values(rows, "id int, x1 double, x2 double, x3 double, label int")
+    params = {"n_estimators": 300, "max_depth": 50, "max_features": "log2", "min_samples_split": 10}
+    slow = ML.score_in_batches(df, df, "RF", params, PREDICTORS)
+    expected = {r[:3]: r[3] for r in slow.select(*PREDICTORS, "score").distinct().collect()}
+    monkeypatch.setattr(ML, "score_in_batches", None)
+    got = {r[:3]: r[3] for r in ML.run_model(df, df, "RF", params, PREDICTORS, ["id"]).select(*PREDICTORS, "score").distinct().collect()}
+    assert got.keys() == expected.keys() and len(got) == 8
+    assert all(abs(got[x] - expected[x]) < 0.01 for x in got)
+    mixed = df.withColumn("x1", F.col("x1") * 2)
+    assert ML.score_few_vectors(mixed, mixed, "RF", params, PREDICTORS) is None
