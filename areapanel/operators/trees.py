@@ -51,17 +51,26 @@ class TreeModel:
 
 def split_points(df: DataFrame, predictors: Sequence[str], bins: int = BINS) -> list[list[float]]:
     """Thresholds of each predictor; bins x columns numbers reach the driver. Quantiles are taken of columns with other values than 0 and 1 only."""
+    return split_points_of(df.withColumn("_part", F.lit(0)), "_part", predictors, bins).get(0, [[] for _ in predictors])
+
+
+def split_points_of(df: DataFrame, part: str, predictors: Sequence[str], bins: int = BINS) -> dict:
+    """Thresholds of each predictor for every value of the column `part` (not many), all in the same passes."""
     number = {c: F.col(c).cast("double") for c in predictors}
     ends = [(F.min(v), F.max(v), F.count_if((v != 0) & (v != 1))) for v in number.values()]
-    row = df.agg(*[e.alias(f"{k}{i}") for i, three in enumerate(ends) for k, e in zip("abo", three)]).first()
-    values = {c: {row[f"a{i}"], row[f"b{i}"]} - {None} for i, c in enumerate(predictors)}
-    other = [c for i, c in enumerate(predictors) if row[f"o{i}"]]
+    found = df.groupBy(part).agg(*[e.alias(f"{k}{i}") for i, three in enumerate(ends) for k, e in zip("abo", three)]).collect()
+    values = {r[part]: [{r[f"a{i}"], r[f"b{i}"]} - {None} for i in range(len(predictors))] for r in found}
+    other = [i for i in range(len(predictors)) if any(r[f"o{i}"] for r in found)]
     if other:
         marks = [i / bins for i in range(bins + 1)]
-        row = df.agg(*[F.percentile_approx(number[c], marks, 100 * bins).alias(f"c{i}") for i, c in enumerate(other)]).first()
-        values |= {c: set(row[f"c{i}"] or []) for i, c in enumerate(other)}
-    in_order = [sorted(values[c]) for c in predictors]
-    return [[(a + b) / 2 for a, b in zip(v, v[1:])] for v in in_order]
+        quantiles = df.groupBy(part).agg(*[F.percentile_approx(number[predictors[i]], marks, 100 * bins).alias(f"c{i}") for i in other]).collect()
+        seen = {r[part]: r for r in found}
+        for r in quantiles:
+            for i in other:
+                if seen[r[part]][f"o{i}"]:
+                    values[r[part]][i] = set(r[f"c{i}"] or [])
+    in_order = {k: [sorted(v) for v in columns] for k, columns in values.items()}
+    return {k: [[(a + b) / 2 for a, b in zip(v, v[1:])] for v in columns] for k, columns in in_order.items()}
 
 
 def bins_of(predictors: Sequence[str], thresholds: Sequence[Sequence[float]]) -> Column:
@@ -86,25 +95,25 @@ def bootstrap_weight(seed: int, tree: Column, key: Column) -> Column:
     return sum(((digest >= F.lit(m)).cast("long") for m in marks[1:]), (digest >= F.lit(marks[0])).cast("long"))
 
 
-def collapsed(train: DataFrame, bins: Column, label: str, keys: Sequence[str], trees: int, bootstrap: bool, seed: int) -> DataFrame:
-    """(tree, bins, n, w, p): rows of weight, their weights and those of positive rows, for every tree and distinct vector."""
+def collapsed(train: DataFrame, bins: Column, label: str, keys: Sequence[str], trees: int, bootstrap: bool, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, tree, bins, n, w, p): rows of weight, their weights and those of positive rows, for every tree and distinct vector, apart for the values of `by`."""
     width = min(trees, TREES_A_ROW) if bootstrap else 1
     y, key = F.col(label).cast("long"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    rows = train.select(bins.alias("bins"), y.alias("y"), key.alias("key"))
+    rows = train.select(*by, bins.alias("bins"), y.alias("y"), key.alias("key"))
     if trees > width and bootstrap:
         rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(trees - 1), F.lit(width))))
     else:
         rows = rows.withColumn("first", F.lit(0))
-    rows = rows.select("first", "bins", "y", *[(bootstrap_weight(seed, F.col("first") + k, F.col("key")) if bootstrap else F.lit(1).cast("long")).alias(f"w{k}")
-                                               for k in range(width)])
-    sums = rows.groupBy("first", "bins", "y").agg(*[e for k in range(width) for e in (F.count_if(F.col(f"w{k}") > 0).alias(f"n{k}"), F.sum(f"w{k}").alias(f"w{k}"))])
+    rows = rows.select(*by, "first", "bins", "y", *[(bootstrap_weight(seed, F.col("first") + k, F.col("key")) if bootstrap else F.lit(1).cast("long")).alias(f"w{k}")
+                                                    for k in range(width)])
+    sums = rows.groupBy(*by, "first", "bins", "y").agg(*[e for k in range(width) for e in (F.count_if(F.col(f"w{k}") > 0).alias(f"n{k}"), F.sum(f"w{k}").alias(f"w{k}"))])
     if bootstrap:
         tree = F.explode(F.array(*[F.struct((F.col("first") + k).alias("tree"), F.col(f"n{k}").alias("n"), F.col(f"w{k}").alias("w")) for k in range(width)]))
-        sums = sums.select("bins", "y", tree.alias("t")).select("t.*", "bins", "y").where((F.col("w") > 0) & (F.col("tree") < trees))
+        sums = sums.select(*by, "bins", "y", tree.alias("t")).select(*by, "t.*", "bins", "y").where((F.col("w") > 0) & (F.col("tree") < trees))
     else:
         every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        sums = sums.select(every.alias("tree"), "bins", "y", F.col("n0").alias("n"), F.col("w0").alias("w"))
-    return sums.groupBy("tree", "bins").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p"))
+        sums = sums.select(*by, every.alias("tree"), "bins", "y", F.col("n0").alias("n"), F.col("w0").alias("w"))
+    return sums.groupBy(*by, "tree", "bins").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p"))
 
 
 def impurity(p: Column, w: Column, criterion: str) -> Column:
@@ -182,6 +191,51 @@ def grow(train: DataFrame, predictors: Sequence[str], label: str = "label", keys
     return _grown(rows, predictors, thresholds, trees, criterion, max_depth, feature_count(max_features, len(predictors)), min_samples_split, seed)
 
 
+@dataclass
+class CollapsedParts:
+    """The collapsed training rows of several training sets: `rows` (part, bootstrap, tree, bins, n, w, p) and the thresholds of each set."""
+
+    part: str
+    rows: DataFrame
+    thresholds: dict
+    predictors: list[str]
+
+    def grow(self, value, trees: int = 1, criterion: str = "gini", max_depth: int | None = None, max_features: str | int | None = None,
+             min_samples_split: int = 2, bootstrap: bool = False, seed: int = SEED) -> TreeModel:
+        """What `grow` gives over the rows of one set."""
+        own = self.rows.where((F.col(self.part) == F.lit(value)) & (F.col("bootstrap") == F.lit(bootstrap)) & (F.col("tree") < trees))
+        rows = own.select("tree", "bins", "n", "w", "p", F.lit("").alias("path"))
+        return _grown(rows, self.predictors, self.thresholds.get(value, [[] for _ in self.predictors]), trees, criterion, max_depth,
+                      feature_count(max_features, len(self.predictors)), min_samples_split, seed)
+
+
+def collapse_parts(train: DataFrame, part: str, predictors: Sequence[str], label: str, keys: Sequence[str], trees: int, single: bool, seed: int = SEED,
+                   bins: int = BINS) -> CollapsedParts:
+    """Rows of all training sets, told apart by the column `part`, read once for the thresholds and collapsed once for everything grown from them.
+
+    A row's draws depend on the seed, the tree and its keys only, so every forest of up to `trees` trees takes its first trees from the same sums.
+    `single`: for trees without draws too.
+    """
+    predictors = list(predictors)
+    train = train.where(F.col(label).isNotNull())
+    thresholds = split_points_of(train, part, predictors, bins)
+    alike: list = []
+    for value, cuts in thresholds.items():
+        held = next((values for values, c in alike if c == cuts), None)
+        if held is None:
+            alike.append(([value], cuts))
+        else:
+            held.append(value)
+    # sets of equal thresholds share an expression
+    own = bins_of(predictors, alike[0][1] if alike else [[] for _ in predictors])
+    for values, cuts in alike[1:]:
+        own = F.when(F.col(part).isin(values), bins_of(predictors, cuts)).otherwise(own)
+    kinds = ([(True, trees)] if trees else []) + ([(False, 1)] if single else [])
+    parts = [collapsed(train, own, label, keys, n, drawn, seed, [part]).withColumn("bootstrap", F.lit(drawn)) for drawn, n in kinds]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return CollapsedParts(part, stage(rows, "tree-rows"), thresholds, predictors)
+
+
 def grow_like_mllib(groups: DataFrame, predictors: Sequence[str], trees: int, max_depth: int, looked_at: int, min_leaf: int, seed: int = SEED) -> TreeModel:
     """Forest of MLlib's rules over 0/1 columns from `groups` (bins, m, q): distinct vectors, their rows and their positive rows.
 

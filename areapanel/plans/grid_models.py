@@ -22,6 +22,8 @@ from areapanel.session import scratch_path, stage
 POINT = ["model_type", "parameters", "split_date"]
 #: What a row holds of a model: a node of a tree, a weight with its column's deviation, or a ready importance.
 ROW = "kind string, tree int, path string, depth int, n long, w long, p long, feature string, gain double, weight double, deviation double"
+#: Models whose trees grow as tables.
+TREES = ("DT", "RF", "B")
 COLUMNS = [part.split()[0] for part in ROW.split(", ")]
 
 
@@ -31,13 +33,20 @@ def _filled(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in COLUMNS])
 
 
+def tree_params(name: str, params: Mapping) -> dict:
+    return T.fit_params(name, {**ML.DEFAULTS.get(name, {}), **params})
+
+
+def _node_rows(model: T.TreeModel) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in model.predictors])
+    return _filled(model.nodes.withColumn("feature", F.get(names, F.col("feature"))), "node")
+
+
 def model_rows(train: DataFrame, name: str, params: Mapping, predictors: Sequence[str], keys: Sequence[str], label: str = "label") -> DataFrame:
     """Fit one model and return its rows."""
     spark, p = train.sparkSession, {**ML.DEFAULTS.get(name, {}), **params}
-    if name in ("DT", "RF", "B"):
-        model = T.grow(train, predictors, label, keys, seed=ML.SEED, **T.fit_params(name, p))
-        names = F.array(*[F.lit(c) for c in predictors])
-        return _filled(model.nodes.withColumn("feature", F.get(names, F.col("feature"))), "node")
+    if name in TREES:
+        return _node_rows(T.grow(train, predictors, label, keys, seed=ML.SEED, **tree_params(name, params)))
     if name in ("LR", "SVM"):
         model = fit_linear(train, predictors, label, "logistic" if name == "LR" else "squared_hinge", p.get("penalty", "l2"), p.get("C", 1.0))
         weights = spark.createDataFrame(list(zip(predictors, map(float, model.weights))), "feature string, weight double")
@@ -54,17 +63,27 @@ def model_rows(train: DataFrame, name: str, params: Mapping, predictors: Sequenc
 
 def grid_models(featured: DataFrame, grid: Mapping[str, Mapping], predictors: Sequence[str], keys: Sequence[str] = ("tract", "year"), label: str = "label",
                 parallelism: int = 4) -> DataFrame:
-    """Rows of every model, parameter point and split; `featured` has split_date and role. The fits are separate jobs, a few side by side."""
+    """Rows of every model, parameter point and split; `featured` has split_date and role. The fits are separate jobs, a few side by side.
+
+    All trees of all points and splits grow from one table of collapsed rows; the training rows are not read again for each of them.
+    """
     spark = featured.sparkSession
     path = scratch_path(spark, "grid-models")
     narrow = stage(featured.where(F.col("role") == "train").select("split_date", *keys, label, *predictors), "grid-rows")
     dates = [r.split_date for r in narrow.select("split_date").distinct().orderBy("split_date").collect()]
     points = [(d, name, params) for d in dates for name in grid for params in ML.grid_points(grid[name])]
+    grown = [tree_params(name, params) for _, name, params in points if name in TREES]
+    if grown:
+        largest = max((p["trees"] for p in grown if p.get("bootstrap")), default=0)
+        vectors = T.collapse_parts(narrow, "split_date", predictors, label, keys, largest, not all(p.get("bootstrap") for p in grown), ML.SEED)
 
     @inheritable_thread_target(spark)
     def fit(at: int) -> None:
         day, name, params = points[at]
-        rows = model_rows(narrow.where(F.col("split_date") == F.lit(day)), name, params, predictors, keys, label)
+        if name in TREES:
+            rows = _node_rows(vectors.grow(day, seed=ML.SEED, **tree_params(name, params)))
+        else:
+            rows = model_rows(narrow.where(F.col("split_date") == F.lit(day)), name, params, predictors, keys, label)
         rows.select(F.lit(name).alias("model_type"), F.lit(ML.params_text(params)).alias("parameters"), F.lit(day).alias("split_date"),
                     *COLUMNS).write.parquet(f"{path}/point={at}")
 

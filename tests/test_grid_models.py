@@ -61,3 +61,23 @@ def test_without_training_rows_there_is_no_model(featured):
     assert G.model_rows(featured.limit(0), "DT", {}, NAMES, ["tract", "year"]).count() == 0
     with pytest.raises(ValueError):
         G.model_rows(featured, "XX", {}, NAMES, ["tract", "year"])
+
+
+def test_all_trees_of_a_grid_grow_from_rows_collapsed_once(featured, monkeypatch):
+    """Sums are taken once with draws and once without, whatever the points and splits; each tree is the one `grow` gives alone."""
+    wide = featured.withColumn("d", F.expr("pmod(tract * 7, 11) + if(split_date = '2002-01-01', 100, 0)"))
+    grid = {"DT": {"max_depth": [2, 3], "criterion": ["gini", "entropy"]}, "B": {"n_estimators": [2], "criterion": ["entropy"], "max_depth": [2]},
+            "RF": {"n_estimators": [3, 9], "max_features": ["log2"], "max_depth": [3]}}
+    names, calls, collapsed = [*NAMES, "d"], [], T.collapsed
+    monkeypatch.setattr(T, "collapsed", lambda *args, **how: calls.append(1) or collapsed(*args, **how))
+    models = G.grid_models(wide, grid, names).cache()
+    assert models.select(*G.POINT).distinct().count() == 14
+    assert len(calls) == 2
+    for day, name, params in (("2001-01-01", "RF", {"n_estimators": 9, "max_features": "log2", "max_depth": 3}),
+                              ("2002-01-01", "RF", {"n_estimators": 3, "max_features": "log2", "max_depth": 3}),
+                              ("2002-01-01", "DT", {"max_depth": 3, "criterion": "entropy"})):
+        train = wide.where((F.col("role") == "train") & (F.col("split_date") == day))
+        alone = G.model_rows(train, name, params, names, ["tract", "year"])
+        own = models.where((F.col("split_date") == day) & (F.col("model_type") == name) & (F.col("parameters") == G.ML.params_text(params)))
+        columns = ["tree", "path", "depth", "n", "w", "p", "feature", "gain"]
+        assert sorted(map(str, own.select(columns).collect())) == sorted(map(str, alone.select(columns).collect()))
