@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark import TaskContext
@@ -25,12 +26,17 @@ from tokenizers import Tokenizer
 from areapanel.llm.elias_fano import from_bytes, to_bytes
 from areapanel.llm.files import mapped, write_new
 from areapanel.llm.tables import query, scratch_path, stage, table
+from areapanel.llm.words import blocks
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CHUNK_BITS = 8
 FILE_TOKENS = 4_000_000
 CACHED_WORDS = 700_000
+CACHED_PIECES = 300_000
+READ_TOKENS = 1 << 18
+BLOCK_BYTES = 8 << 20
+LARGE_BYTES = 64 << 20
 BLOCK_BITS = 512
 
 
@@ -109,6 +115,17 @@ class TokenFile:
     def tokens(self, document: int) -> np.ndarray:
         return self.codes.span(int(self.starts[document]), int(self.starts[document + 1]))
 
+    def documents(self, n_tokens: int = READ_TOKENS):
+        """The ids of every document in order, read in stretches of about `n_tokens` that end between documents."""
+        lo, n = 0, len(self.doc_ids)
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + n_tokens, "right")) - 1)
+            hi = min(hi, n)
+            first = int(self.starts[lo])
+            ids = self.codes.span(first, int(self.starts[hi]))
+            yield from np.split(ids, self.starts[lo + 1:hi] - first)
+            lo = hi
+
 
 MAGIC = b"DACODES1"
 
@@ -122,10 +139,41 @@ def write_file(folder: str, doc_ids: list, lengths: list[int], ids: np.ndarray)
     return write_new(folder, "dac", [MAGIC, np.array([len(codes.levels)], np.int64).tobytes(), *to_bytes(arrays)])
 
 
-#: Fixed value: how the vocabulary cuts lower-case text into pieces.
+#: Marks that often end a word, and how the vocabulary cuts lower-case text into pieces.
+END_MARKS = ",.;:!?"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+class StandIns(dict):
+    """A character's UTF-8 bytes as the letters that stand for them in a byte-level vocabulary."""
+
+    def __init__(self):
+        super().__init__()
+        # bytes that are no visible ASCII or Latin-1 mark stand in the vocabulary as letters from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(self.byte[b] for b in chr(code).encode("utf-8"))
+        return out
+
+
+class PieceIds(dict):
+    """Ids of a piece, from the library's model, as bytes; kept for pieces seen before. Many words differ only in case or in a mark at their end."""
+
+    def __init__(self, model, size: int):
+        super().__init__()
+        self.model, self.stand_ins = model, StandIns()
+        self.four = [row.tobytes() for row in np.arange(size, dtype="<u4")]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        shown = piece if piece.isascii() and piece.isprintable() else piece.translate(self.stand_ins)
+        out = self[piece] = b"".join([self.four[t.id] for t in self.model.tokenize(shown)])
+        return out
+
+
 class WordIds(dict):
     """Ids of a stretch of text between white space, as bytes; kept for words seen before.
 
@@ -138,27 +186,24 @@ class WordIds(dict):
         self.encoder = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.encoder.no_truncation()
         self.encoder.no_padding()
-        self.model = self.encoder.model
+        self.pieces = PieceIds(self.encoder.model, max(self.encoder.get_vocab().values()) + 1)
         self.cut = regex.compile(PIECES)
-        # bytes that are no visible ASCII or Latin-1 mark stand in the vocabulary as letters from U+0100 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.stand_ins = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        if not (piece.isascii() and piece.isprintable()):
-            piece = piece.encode("utf-8").decode("latin-1").translate(self.stand_ins)
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
         if "<|" in word or not (word.isascii() or max(word) < "\u0180"):
             out = self.encode(word)
         else:
-            out = b"".join(map(self.piece, self.cut.findall(word.lower())))
+            low = word.lower()
+            stem = low.rstrip(END_MARKS)
+            if stem.isalpha():  # letters are one piece, the marks after them another
+                out = self.pieces[stem] if len(stem) == len(low) else self.pieces[stem] + self.pieces[low[len(stem):]]
+            else:
+                out = b"".join(map(self.pieces.__getitem__, self.cut.findall(low)))
         self[word] = out
         return out
 
@@ -166,6 +211,18 @@ class WordIds(dict):
         """White space always ends a word of this vocabulary and is no part of it, so stretches are independent."""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an array without nulls, one after the other, and the number of ids of each. A stretch is looked up once an array."""
+        if texts.nbytes > LARGE_BYTES:  # one text of that size; Arrow's offsets of the ids could run over
+            parts = [self.text(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+        stretches = pc.ascii_split_whitespace(texts)
+        places = stretches.flatten().dictionary_encode()
+        ids = pa.array(list(map(self.__getitem__, places.dictionary.to_pylist())), pa.binary()).take(places.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(), dtype=np.int64) // 4])
+        data = np.frombuffer(ids.buffers()[2] or b"", "<u4")[:ends[-1]]
+        return data, np.diff(ends[stretches.offsets.to_numpy()])
+
 
 _kept: dict[str, WordIds] = {}
 
@@ -178,28 +235,35 @@ def word_ids(vocabulary: str) -> WordIds:
 
 
 def _write(folder: str, vocabulary: str, end_id: int, file_tokens: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         words, part, number = word_ids(vocabulary), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, total = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             address = write_file(folder, doc_ids, lengths, ids)
             return pa.RecordBatch.from_arrays([pa.array([address]), pa.array([part], pa.int32()), pa.array([number], pa.int32()),
                                                pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64())],
                                               ["address", "part", "number", "n_docs", "n_tokens"])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.text(text.as_py() or "") + end
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                total += lengths[-1]
-                if total >= file_tokens:
-                    yield flush()
-                    doc_ids, lengths, held, total, number = [], [], [], 0, number + 1
+            texts = pc.fill_null(batch.column(1), "")
+            for lo, hi in blocks(texts, BLOCK_BYTES):
+                ids, sizes = words.texts(texts.slice(lo, hi - lo))
+                ends = np.cumsum(sizes)
+                ids, sizes, ends = np.insert(ids, ends, end_id), sizes + 1, ends + np.arange(1, len(ends) + 1)
+                own, at = batch.column(0).slice(lo, hi - lo).to_pylist(), 0
+                while at < len(own):
+                    before = int(ends[at] - sizes[at])
+                    # the document that fills the file is its last
+                    to = min(len(own), int(np.searchsorted(ends, before + file_tokens - total)) + 1)
+                    doc_ids += own[at:to]
+                    lengths += sizes[at:to].tolist()
+                    held.append(ids[before:ends[to - 1]])
+                    total += len(held[-1])
+                    at = to
+                    if total >= file_tokens:
+                        yield flush()
+                        doc_ids, lengths, held, total, number = [], [], [], 0, number + 1
         if doc_ids:
             yield flush()
     return run
@@ -219,7 +283,7 @@ def _read(batches):
     for batch in batches:
         for address, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             file = TokenFile(address)
-            crcs = [zlib.crc32(file.tokens(i).astype("<u4").tobytes()) for i in range(len(file.doc_ids))]
+            crcs = [zlib.crc32(ids.astype("<u4", copy=False)) for ids in file.documents()]
             yield pa.RecordBatch.from_arrays([
                 pa.array(file.doc_ids, mask=file.nulls.astype(bool)), pa.array(file.starts[:-1] + start),
                 pa.array(np.diff(file.starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

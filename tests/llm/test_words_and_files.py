@@ -6,7 +6,7 @@ import pytest
 
 from areapanel.llm import words as W
 from areapanel.llm.elias_fano import EliasFano
-from areapanel.llm.token_files import Codes, WordIds
+from areapanel.llm.token_files import Codes, TokenFile, WordIds, write_file
 
 TEXTS = [b"Hello  world, hello", b"", None, b"xx HELLO", b"a" * 100 + b" b", "Ünïcode\tñ x".encode(), b"q"]
 
@@ -53,3 +53,31 @@ def test_word_ids_equal_the_library():
     for text in ["", "Don't  STOP''s", "é<|endoftext|>x", "A\x01B ñ 12ab\nÜber\xadall ¼ªº", "İi ΑΣ' ǅ 日本", "<|startoftext|> x"]:
         ids = np.frombuffer(words.text(text), "<u4").tolist()
         assert ids == words.encoder.encode(text, add_special_tokens=False).ids
+
+
+def test_stretches_are_looked_up_once_an_array_and_pieces_asked_for_once():
+    """Texts of an array cost one lookup a distinct stretch; words that differ in case or in marks at their end share a piece."""
+    class Counted(WordIds):
+        lookups = 0
+
+        def __getitem__(self, word):
+            type(self).lookups += 1
+            return super().__getitem__(word)
+    words = Counted("word_bpe_49k.json")
+    texts = ["Ünder, under ünder! don't 12,5 " * 50, "", "  ", "under\tÜnder\nx\x0b\x85y Z <|endoftext|> 'll", "żółw ŻÓŁW; İx 中文 á"]
+    ids, sizes = words.texts(pa.array(texts))
+    assert Counted.lookups <= 20
+    assert sum(p == "ünder" for p in words.pieces) == 1 and "Ünder" not in words.pieces
+    for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert own.tolist() == words.encoder.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_of_a_file_come_back_in_stretches(tmp_path):
+    """Whatever a stretch holds, the documents are those read one by one, empty ones too."""
+    rng = np.random.default_rng(3)
+    lengths = [0, 5, 0, 40, 1, 300, 0, 2, 0]
+    ids = rng.integers(0, 1 << 20, sum(lengths)).astype("<u4")
+    file = TokenFile(write_file(str(tmp_path), list(range(len(lengths))), lengths, ids))
+    for n in (1, 41, 10_000):
+        got = [d.tolist() for d in file.documents(n)]
+        assert got == [file.tokens(i).tolist() for i in range(len(lengths))] and [len(d) for d in got] == lengths
