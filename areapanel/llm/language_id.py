@@ -30,6 +30,7 @@ LEXICON_WORDS = 50_000
 FEATURE_BITS = 16
 GRAMS = (1, 2, 3, 4)
 BLOCK_BYTES = 4 << 20
+SCORED_BYTES = 1 << 17
 EPOCHS = 12
 MIN_SCORE = 0.3
 UNKNOWN = "und"
@@ -78,8 +79,16 @@ class Model:
         return np.where(self.lexicon[at] == hashes, self.classes[at], absent)
 
     def word_scores(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        slots, begins = word_features(words)
-        return np.add.reduceat(self.grams[slots], begins) + self.lexical[self.lexicon_class(hashes)]
+        """Scores of all words; a feature takes over a hundred bytes while it is worked on, so words go in parts of bounded size."""
+        out = self.lexical[self.lexicon_class(hashes)]
+        ends = np.cumsum([len(w) for w in words])
+        lo = 0
+        while lo < len(words):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SCORED_BYTES, "right")))
+            slots, begins = word_features(words[lo:hi])
+            out[lo:hi] += np.add.reduceat(self.grams[slots], begins)
+            lo = hi
+        return out
 
 
 class Sequences:

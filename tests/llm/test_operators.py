@@ -327,3 +327,20 @@ def test_shards_are_even_and_keep_equal_texts(spark):
     for r in got:
         homes[r.text_crc32, r.size].add(r.shard)
     assert sum(len(v) > 1 for v in homes.values()) <= 6
+
+
+def test_word_scores_need_memory_by_part_and_not_by_block():
+    """Features of all distinct words of a block at once took hundreds of MB in a worker; parts give the same scores to the last bit."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    model = language_id.Model(["a", "b", "c", "d"], np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.normal(size=(1 << language_id.FEATURE_BITS, 4)),
+                              rng.normal(size=(17, 4)), np.zeros((4, 4)), np.zeros(4))
+    words = [bytes(w) for w in rng.integers(97, 123, (60_000, 9), dtype=np.uint8)] + [b"x" * 300_000, b"y"]
+    hashes = np.arange(len(words), dtype=np.uint64)
+    tracemalloc.start()
+    scores = model.word_scores(words, hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    slots, begins = language_id.word_features(words)
+    assert (scores == np.add.reduceat(model.grams[slots], begins) + model.lexical[-1]).all()
+    assert peak < 130e6
