@@ -16,6 +16,8 @@ and `tokens_at` answer from it without encoding again. Null texts are empty.
 from __future__ import annotations
 
 import json
+from array import array
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CACHED_PIECES = 1_000_000
 CACHED_PAIRS = 300_000
+CACHED_PREFIXES = 500_000
+SHARED_BYTES = 32
 
 #: White space, and how this vocabulary cuts text into pieces.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0  -     　]"
@@ -58,8 +62,8 @@ class Vocabulary:
         for i, (a, b) in enumerate(pairs, 1):
             a, b = raw(a), raw(b)
             self.rank[a + b], self.halves[a + b], self.joined[a, b] = i, (a, b), i
-        self.longest = max(map(len, self.rank))
         self._fits: dict = {}
+        self._prefixes: dict[bytes, bytes] = {}
 
     def fits(self, before: bytes | None, token: bytes) -> bool:
         """Whether `token` can follow `before` (None: it begins the piece): undoing merges on both sides of the border from
@@ -90,17 +94,32 @@ class Vocabulary:
                 limit, right = (b, 1), self.halves[right][0]
 
     def piece_counts(self, data: bytes) -> list[int]:
-        """Token count of data[:i] for every i."""
-        ends: list = [None]
-        counts = [0]
-        rank, longest = self.rank, self.longest
-        for i in range(1, len(data) + 1):
-            for at in range(max(0, i - longest), i):
+        """Token count of data[:i] for every i. What ends a prefix follows from the prefix alone, so pieces that begin alike share it."""
+        n, known, rank, held_fits = len(data), self._prefixes, self.rank, self._fits
+        if len(known) > CACHED_PREFIXES:
+            known.clear()
+        # begins[i]: where the last token of data[:i] begins; up to SHARED_BYTES the begins of a prefix are kept under it
+        done = min(n, SHARED_BYTES)
+        while done and data[:done] not in known:
+            done -= 1
+        begins = [0, *known[data[:done]]] if done else [0]
+        for i in range(done + 1, n + 1):
+            # only one token fits, so the first one met from the shortest on is it
+            at = i - 1
+            while at:
                 token = data[at:i]
-                if token in rank and (at == 0 or self.fits(ends[at], token)):
-                    ends.append(token)
-                    counts.append(counts[at] + 1)
-                    break
+                if token in rank:
+                    key = (data[begins[at]:at], token)
+                    fits = held_fits.get(key)
+                    if self.fits(*key) if fits is None else fits:
+                        break
+                at -= 1
+            begins.append(at)
+            if i <= SHARED_BYTES:
+                known[data[:i]] = bytes(begins[1:])
+        counts = [0]
+        for at in begins[1:]:
+            counts.append(counts[at] + 1)
         return counts
 
 
@@ -111,18 +130,23 @@ class PieceChanges(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def counts(self, piece: str) -> np.ndarray:
+    def counts(self, piece: str) -> list[int]:
         counts = self.vocabulary.piece_counts(piece.encode("utf-8"))
         if not piece.isascii():
-            counts = [counts[i] for i in np.cumsum([0] + [len(c.encode("utf-8")) for c in piece])]
+            ends, end = [0], 0
+            for c in piece:
+                end += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+                ends.append(end)
+            counts = [counts[i] for i in ends]
         if piece in CONTRACTIONS:
             counts[2] = self.vocabulary.piece_counts(piece[:1].encode())[-1] + self.vocabulary.piece_counts(piece[1:2].encode())[-1]
-        return np.array(counts)
+        return counts
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED_PIECES:
             self.clear()
-        out = self[piece] = np.diff(self.counts(piece)).astype(np.int16).tobytes()
+        counts = self.counts(piece)
+        out = self[piece] = array("h", map(sub, counts[1:], counts)).tobytes()
         return out
 
     def size(self, piece: str) -> int:

@@ -1,11 +1,14 @@
 """Word hashes, Elias-Fano sequences and addressable codes against plain Python."""
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from areapanel.llm import words as W
 from areapanel.llm.elias_fano import EliasFano
+from areapanel.llm.prefix_counts import VOCABULARY, Vocabulary
 from areapanel.llm.token_files import Codes, TokenFile, WordIds, write_file
 
 TEXTS = [b"Hello  world, hello", b"", None, b"xx HELLO", b"a" * 100 + b" b", "Ünïcode\tñ x".encode(), b"q"]
@@ -81,3 +84,21 @@ def test_documents_of_a_file_come_back_in_stretches(tmp_path):
     for n in (1, 41, 10_000):
         got = [d.tolist() for d in file.documents(n)]
         assert got == [file.tokens(i).tolist() for i in range(len(lengths))] and [len(d) for d in got] == lengths
+
+
+def test_pieces_that_begin_alike_share_the_work_on_their_prefix(monkeypatch):
+    """A longer piece is worked out from where a known one ends; counts are those of the library for every prefix."""
+    vocabulary, calls, fits = Vocabulary(VOCABULARY), [], Vocabulary.fits
+    monkeypatch.setattr(Vocabulary, "fits", lambda self, *pair: calls.append(pair) or fits(self, *pair))
+    vocabulary.piece_counts(b" internationalisation")
+    del calls[:]
+    vocabulary.piece_counts(b" internationalisations")
+    assert len(calls) <= 10
+    library = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        piece = "".join(rng.choice(list("aeinrstlouchéèXQzß"), int(rng.integers(1, 45))))
+        counts = vocabulary.piece_counts((" " + piece).encode())
+        ends = np.cumsum([1] + [len(c.encode()) for c in piece])
+        for k in (1, len(piece) // 2, len(piece)):
+            assert counts[ends[k]] == len(library.encode(" " + piece[:k], add_special_tokens=False).ids)
