@@ -102,7 +102,7 @@ class Pair:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a = dict(zip(np.cumsum(self.lengths[0][a]).tolist(), range(1, len(a) + 1)))
         ends_b = dict(zip(np.cumsum(self.lengths[1][b]).tolist(), range(1, len(b) + 1)))
-        common = sorted(ends_a.keys() & ends_b.keys())
+        common = list(filter(ends_b.__contains__, ends_a))  # in order, as the ends of one side are
         return a, b, np.array(list(map(ends_a.__getitem__, common)), np.int64), np.array(list(map(ends_b.__getitem__, common)), np.int64)
 
     def written(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
