@@ -1,9 +1,13 @@
 """Alignment of two tokenizers over the same texts: groups of tokens between common ends, and how many documents link each id pair.
 
-Per text, two dictionaries lead from the byte offset of a token's end to its index, one per tokenizer. The intersection
-of their keys, sorted, cuts both id lists into groups, the smallest runs of tokens that cover the same bytes. Every token of a group is
+Two dictionaries, arrays over the byte offsets of a text, lead from a token's end to its index, one per tokenizer. The intersection
+of their keys, in order, cuts both id lists into groups, the smallest runs of tokens that cover the same bytes. Every token of a group is
 linked with every token of the other side; links are expanded group by group, large groups by their distinct ids and multiplicities.
 
+Both tokenizers end a token before a space that follows a character other than white space: the pattern of the first takes a space only at a
+token's begin or in white space, and no piece of the second holds a space after anything else. So a text is a row of stretches, each worked out
+once and kept; a text's ids, groups and links are those of its stretches in order. Stretches not met before are aligned many at a time, as one text.
+
 `align` keeps the alignment as a table: ids of both sides and one bit per token that ends a group, in blocks of
 about `BLOCK_BYTES` of text. The documents that hold a pair linked are counted per block first; blocks then ask for the counts of their own pairs,
 so neither texts nor expanded links are shuffled. A pair that every document holds is one row per block.
@@ -36,9 +40,16 @@ BLOCK_BYTES = 16 << 20
 CHUNK_LINKS = 1_000_000
 LARGE_GROUP = 4096
 HELD_PAIRS = 2_000_000
+CACHED_STRETCHES = 400_000
+KEPT_CHARS = 64
+LINE_STRETCHES = 256
 MAX_BUCKETS = 100_000
 #: The fast encoder's pattern engine has a bounded stack; texts with a longer run of white space go to the other one.
 LONG_BLANK = re.compile(r"\s{5000}")
+#: A space that begins a stretch; one that ends the text does not.
+BORDER = re.compile(r" (?<=\S )(?!\Z)")
+#: What no piece of the second vocabulary may hold, else whole texts are the stretches.
+ACROSS = re.compile(r"[^▁]▁")
 
 
 class ByteLevel:
@@ -80,6 +91,7 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode("utf-8"))
+        self.apart = not any(ACROSS.search(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))
 
 
 class Pair:
@@ -90,6 +102,12 @@ class Pair:
         self.lengths = [np.array(list(map(len, x.bytes)), np.int64) for x in (self.a, self.b)]
         self.names = [np.array([f"{i}{after}" for i in range(len(x.bytes)) for after in (",", end)], object) for x, end in ((self.a, "|"), (self.b, ";"))]
         self.width = [np.uint16 if len(x.bytes) <= 1 << 16 else np.uint32 for x in (self.a, self.b)]
+        self.digits = [np.array([len(str(i)) for i in range(len(x.bytes))], np.int64) for x in (self.a, self.b)]
+        self.stretches = Stretches(self)
+
+    def cut(self, text: str) -> list[str]:
+        """The text's stretches without the space before each; an empty text has none."""
+        return (BORDER.split(text) if self.b.apart else [text]) if text else []
 
     def groups(self, text: str, b: list[int]) -> tuple[np.ndarray, ...] | None:
         """(ids, ids, cuts, cuts): the cuts count each side's tokens up to every common end. None for a text that a tokenizer does not give back."""
@@ -100,10 +118,11 @@ class Pair:
         if b"".join(map(self.a.bytes.__getitem__, a)) != whole:
             return None
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        ends_a = dict(zip(np.cumsum(self.lengths[0][a]).tolist(), range(1, len(a) + 1)))
-        ends_b = dict(zip(np.cumsum(self.lengths[1][b]).tolist(), range(1, len(b) + 1)))
-        common = list(filter(ends_b.__contains__, ends_a))  # in order, as the ends of one side are
-        return a, b, np.array(list(map(ends_a.__getitem__, common)), np.int64), np.array(list(map(ends_b.__getitem__, common)), np.int64)
+        ends_a, ends_b = np.zeros((2, len(whole) + 1), np.int64)
+        for ends, ids, lengths in ((ends_a, a, self.lengths[0]), (ends_b, b, self.lengths[1])):
+            ends[np.cumsum(lengths[ids])] = np.arange(1, len(ids) + 1)
+        common = np.flatnonzero((ends_a > 0) & (ends_b > 0))
+        return a, b, ends_a[common], ends_b[common]
 
     def written(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
         """The groups as text: ids joined by commas, sides by |, groups by ;."""
@@ -115,6 +134,68 @@ class Pair:
         return "".join(out.tolist())[:-1]
 
 
+#: What is kept for a stretch that a tokenizer does not give back.
+LOST = (b"", b"", b"", 0)
+
+
+class Stretches(dict):
+    """Stretch of text: ids of both sides, written twice and one more for the last of a group; the groups as text; the number of links.
+
+    What is asked for before it is known is the stretch alone, filled by `learn`.
+    """
+
+    def __init__(self, pair: Pair):
+        super().__init__()
+        self.pair, self.waiting = pair, []
+
+    def __missing__(self, stretch: str) -> list:
+        out = self[stretch] = [stretch]
+        self.waiting.append(out)
+        return out
+
+    def learn(self) -> None:
+        """Fill what was asked for; long ones are not kept."""
+        joined, alone = [], []
+        for kept in self.waiting:
+            stretch = kept[0]
+            if len(stretch) > KEPT_CHARS:
+                del self[stretch]
+                alone.append([kept])
+            else:
+                # what ends in white space ends its text: a space after it could change its tokens
+                alone.append([kept]) if stretch[-1].isspace() else joined.append(kept)
+        self.waiting = []
+        lines = [joined[lo:lo + LINE_STRETCHES] for lo in range(0, len(joined), LINE_STRETCHES)] + alone
+        texts = [" ".join([kept[0] for kept in line]) for line in lines]
+        for line, text, b in zip(lines, texts, self.pair.b.model.encode(texts, num_threads=1)):
+            for kept, found in zip(line, self.aligned([kept[0] for kept in line], text, b)):
+                kept[:] = found
+        if len(self) > CACHED_STRETCHES:
+            self.clear()
+
+    def aligned(self, line: list[str], text: str, b: list[int]) -> list[tuple]:
+        """What is kept for the stretches of a line; worked out one by one if the line is not given back."""
+        found = self.pair.groups(text, b)
+        if found is None:
+            return [self.aligned([s], s, self.pair.b.model.encode(s))[0] for s in line] if len(line) > 1 else [LOST]
+        a, b, cuts_a, cuts_b = found
+        ends = np.cumsum([len(s.encode("utf-8")) + 1 for s in line])
+        common = np.cumsum(self.pair.lengths[0][a])[cuts_a - 1]
+        at = np.searchsorted(common, ends)
+        if not np.array_equal(common[at], ends):
+            raise RuntimeError("a stretch does not end tokens of both sides")
+        parts, written = [], np.zeros(len(line), np.int64)
+        for ids, cuts, digits in zip((a, b), (cuts_a, cuts_b), self.pair.digits):
+            marked = 2 * ids
+            marked[cuts - 1] += 1
+            parts.append((marked.astype(np.uint32).tobytes(), 4 * cuts[at]))
+            written += np.cumsum(digits[ids] + 1)[cuts[at] - 1]
+        parts.append((self.pair.written(*found).encode() + b";", written))
+        links = np.cumsum(np.diff(cuts_a, prepend=0) * np.diff(cuts_b, prepend=0))[at]
+        pieces = [[whole[x:y] for x, y in zip([0, *hi], hi)] for whole, hi in ((whole, to.tolist()) for whole, to in parts)]
+        return list(zip(*pieces, np.diff(links, prepend=0).tolist()))
+
+
 _kept: dict = {}
 
 
@@ -129,13 +210,15 @@ ALIGNED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links
            "a_ids binary, b_ids binary, a_marks binary, b_marks binary")
 
 
-NONE = np.zeros(0, np.int64)
-
-
-def _marks(cuts: np.ndarray, n: int) -> bytes:
-    bits = np.zeros(n, bool)
-    bits[cuts - 1] = True
-    return np.packbits(bits).tobytes()
+def _whole(parts: list[list], width_a, width_b) -> tuple:
+    """n_a, n_b, n_groups, n_links, groups_sha256, ids, ids, marks, marks of a text from what is kept for its stretches."""
+    a, b, written, n_links = zip(*parts) if parts else [()] * 4
+    if not parts or not all(a):
+        return 0, 0, 0, 0, "", b"", b"", b"", b""
+    a, b = (np.frombuffer(b"".join(x), np.uint32) for x in (a, b))
+    last = [(x & 1).astype(bool) for x in (a, b)]
+    return (len(a), len(b), int(np.count_nonzero(last[0])), sum(n_links), hashlib.sha256(memoryview(b"".join(written))[:-1]).hexdigest(),
+            (a >> 1).astype(width_a).tobytes(), (b >> 1).astype(width_b).tobytes(), *[np.packbits(x).tobytes() for x in last])
 
 
 def _align(name_a: str, name_b: str, block_bytes: int):
@@ -146,18 +229,15 @@ def _align(name_a: str, name_b: str, block_bytes: int):
         for batch in batches:
             for lo, hi in blocks(batch.column(1), 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                parts = [list(map(pair.stretches.__getitem__, pair.cut(text))) for text in texts]
+                pair.stretches.learn()
                 rows = []
-                for text, b in zip(texts, pair.b.model.encode(texts, num_threads=1)):
-                    found = pair.groups(text, b) if text else None
-                    digest = hashlib.sha256(pair.written(*found).encode()).hexdigest() if found else ""
-                    a, b, cuts_a, cuts_b = found or (NONE, NONE, NONE, NONE)
-                    links = int(np.diff(cuts_a, prepend=0) @ np.diff(cuts_b, prepend=0))
+                for text, own in zip(texts, parts):
                     size = len(text)
                     if filled and filled + size > block_bytes:
                         number, filled = number + 1, 0
                     filled += size
-                    rows.append((first + number, len(a), len(b), len(cuts_a), links, digest, a.astype(pair.width[0]).tobytes(),
-                                 b.astype(pair.width[1]).tobytes(), _marks(cuts_a, len(a)), _marks(cuts_b, len(b))))
+                    rows.append((first + number, *_whole(own, *pair.width)))
                 block, n_a, n_b, n_groups, n_links, digest, *parts = zip(*rows)
                 longs = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
                 yield pa.RecordBatch.from_arrays(

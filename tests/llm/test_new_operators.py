@@ -153,6 +153,27 @@ def test_alignment_equals_brute_force(spark, tokenizers, monkeypatch, block_byte
     assert token_alignment.align_and_count(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("line,cached", [(256, 400_000), (1, 0), (3, 50)])
+def test_stretches_of_a_text_are_aligned_once(tokenizers, monkeypatch, line, cached):
+    """Stretches met before are not encoded again, and texts put together from them equal texts aligned whole."""
+    monkeypatch.setattr(token_alignment, "LINE_STRETCHES", line)
+    monkeypatch.setattr(token_alignment, "CACHED_STRETCHES", cached)
+    rng = np.random.default_rng(3)
+    signs = [*[" "] * 8, *"abest'.,!9", "'s", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "é", "中", "\u0301", "🙂", "  ", "the", "<s>", "\0", "x" * 70]
+    texts = TEXTS + ["".join(rng.choice(signs, n)) for n in (1, 2, 3, 10, 40, 200) for _ in range(20)]
+    pair = token_alignment.Pair(token_alignment.BYTE_LEVEL, token_alignment.PIECES)
+    encoded, encode = [], pair.a.encode
+    monkeypatch.setattr(pair.a, "encode", lambda text: encoded.append(text) or encode(text))
+    for again in (False, True):
+        parts = [list(map(pair.stretches.__getitem__, pair.cut(t or ""))) for t in texts]
+        pair.stretches.learn()
+        got = [token_alignment._whole(x, *pair.width) for x in parts]
+        assert [(r[0], r[1], r[2], r[3], r[4]) for r in got] == [(*r[:4], r[6]) for r in brute_alignment(texts, tokenizers)]
+        if again and cached == 400_000:
+            assert all(len(t) > token_alignment.KEPT_CHARS for t in encoded)
+        encoded.clear()
+
+
 def test_links_of_large_groups_are_expanded_by_distinct_ids(monkeypatch):
     a, b = np.array([1, 1, 2, 9, 3, 3]), np.array([5, 6, 5, 7, 8])
     n_a, n_b = np.array([3, 1, 2]), np.array([3, 1, 1])
