@@ -42,7 +42,7 @@ LARGE_GROUP = 4096
 HELD_PAIRS = 2_000_000
 CACHED_STRETCHES = 400_000
 KEPT_CHARS = 64
-LINE_STRETCHES = 256
+LINE_CHARS = 2048
 MAX_BUCKETS = 100_000
 #: The fast encoder's pattern engine has a bounded stack; texts with a longer run of white space go to the other one.
 LONG_BLANK = re.compile(r"\s{5000}")
@@ -155,17 +155,22 @@ class Stretches(dict):
 
     def learn(self) -> None:
         """Fill what was asked for; long ones are not kept."""
-        joined, alone = [], []
+        lines, alone, room = [], [], 0
         for kept in self.waiting:
             stretch = kept[0]
             if len(stretch) > KEPT_CHARS:
                 del self[stretch]
+            if stretch[-1].isspace():
+                # it ends its text: a space after it could change its tokens
                 alone.append([kept])
-            else:
-                # what ends in white space ends its text: a space after it could change its tokens
-                alone.append([kept]) if stretch[-1].isspace() else joined.append(kept)
+                continue
+            room -= len(stretch) + 1
+            if room < 0:
+                lines.append([])
+                room = LINE_CHARS - len(stretch) - 1
+            lines[-1].append(kept)
+        lines += alone
         self.waiting = []
-        lines = [joined[lo:lo + LINE_STRETCHES] for lo in range(0, len(joined), LINE_STRETCHES)] + alone
         texts = [" ".join([kept[0] for kept in line]) for line in lines]
         for line, text, b in zip(lines, texts, self.pair.b.model.encode(texts, num_threads=1)):
             for kept, found in zip(line, self.aligned([kept[0] for kept in line], text, b)):

@@ -153,10 +153,10 @@ def test_alignment_equals_brute_force(spark, tokenizers, monkeypatch, block_byte
     assert token_alignment.align_and_count(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("line,cached", [(256, 400_000), (1, 0), (3, 50)])
+@pytest.mark.parametrize("line,cached", [(2048, 400_000), (0, 0), (9, 50)])
 def test_stretches_of_a_text_are_aligned_once(tokenizers, monkeypatch, line, cached):
     """Stretches met before are not encoded again, and texts put together from them equal texts aligned whole."""
-    monkeypatch.setattr(token_alignment, "LINE_STRETCHES", line)
+    monkeypatch.setattr(token_alignment, "LINE_CHARS", line)
     monkeypatch.setattr(token_alignment, "CACHED_STRETCHES", cached)
     rng = np.random.default_rng(3)
     signs = [*[" "] * 8, *"abest'.,!9", "'s", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "é", "中", "\u0301", "🙂", "  ", "the", "<s>", "\0", "x" * 70]
